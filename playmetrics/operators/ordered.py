@@ -264,7 +264,25 @@ def delta_from_previous(
     return with_windows(df, deltas, partition_by, order_by, before=1, **options)
 
 
-# --- ranks -------------------------------------------------------------------------
+# --- numbers and ranks -------------------------------------------------------------
+
+
+def number_rows(
+    df: DataFrame,
+    alias: str,
+    partition_by: str | Sequence[str] | None,
+    order_by: Order,
+    *,
+    group_limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Number the rows of each group 1, 2, ... in order."""
+    keys = names(partition_by)
+    largest, rows = group_rows(df, keys)
+    if keys and largest <= group_limit:
+        number = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by))
+        return df.withColumn(alias, number.cast("long"))
+    placed = with_positions(df, keys, order_by, rows, group_limit)
+    return placed.withColumn(alias, F.col(POSITION).cast("long")).drop(POSITION)
 
 
 def rank_within_group(
@@ -273,18 +291,21 @@ def rank_within_group(
     partition_by: str | Sequence[str],
     ties: Sequence[str],
     descending: bool = True,
+    digits: int | None = None,
     *,
     group_limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Unique ranks 1, 2, ... in each group, 1 = best; `ties` decide between equal values.
 
-    NULL values come last and stay unranked.
+    NULL values come last and stay unranked. With `digits` values are compared rounded: sums
+    of doubles differ in the last bits from run to run, and equal ones should stay equal.
     """
     keys = names(partition_by)
     largest, rows = group_rows(df, keys)
     for value in names(values):
         c = F.col(value)
-        order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), *ties]
+        compared = c if digits is None else F.round(c, digits)
+        order = [compared.desc_nulls_last() if descending else compared.asc_nulls_last(), *ties]
         if keys and largest <= group_limit:
             rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         else:

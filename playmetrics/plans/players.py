@@ -20,6 +20,7 @@ from playmetrics.plans.seasons import pass_plays
 from playmetrics.sources.tables import only_seasons
 
 RANKED = ["total_epa", "epa_per_dropback", "success_rate"]
+RANK_DIGITS = 6
 
 
 def passer_seasons(
@@ -35,7 +36,9 @@ def passer_features(
     """Passer seasons with three ranks inside the season and two changes from the passer's
     previous one. The aggregate is settled once: the size checks and windows all read it."""
     stats = settle(passer_seasons(plays, order_by, seasons))
-    ranked = rank_within_group(stats, RANKED, "season", ["passer_id"], **options)
+    ranked = rank_within_group(
+        stats, RANKED, "season", ["passer_id"], digits=RANK_DIGITS, **options
+    )
     return delta_from_previous(
         ranked, ["total_epa", "epa_per_dropback"], ["season"], "passer_id", **options
     )

@@ -15,6 +15,7 @@ from playmetrics.functions.measures import (
 from playmetrics.operators.ordered import rank_within_group
 from playmetrics.operators.relational import rows_without
 from playmetrics.operators.sizing import settle
+from playmetrics.plans.players import RANK_DIGITS
 from playmetrics.plans.seasons import scrimmage_plays
 
 
@@ -25,7 +26,7 @@ def team_features(plays: DataFrame, side: str = "offense", **options) -> DataFra
     measures = team_game_stats() if offense else defensive_stats()
     stats = settle(scrimmage_plays(plays).groupBy(team, "season").agg(*measures))
     value = "total_epa" if offense else "epa_allowed"
-    return rank_within_group(stats, value, "season", [team], **options)
+    return rank_within_group(stats, value, "season", [team], digits=RANK_DIGITS, **options)
 
 
 def regular_plays(plays: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def merge_seasons(spark: SparkSession, path: str, new: DataFrame, season: str =
 def write_results(df: DataFrame, path: str, file_format: str = "parquet") -> DataFrame:
     """Write a result table (predictions, importances) as Parquet or CSV and read it back."""
     if file_format == "csv":
-        df.write.mode("overwrite").option("header", True).csv(path)
-        return df.sparkSession.read.option("header", True).schema(df.schema).csv(path)
+        # By default the CSV writer trims blanks, which are part of a name here.
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode("overwrite").options(header=True, **blanks).csv(path)
+        return df.sparkSession.read.options(header=True).schema(df.schema).csv(path)
     df.write.mode("overwrite").format(file_format).save(path)
     return df.sparkSession.read.format(file_format).load(path)
