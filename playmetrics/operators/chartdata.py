@@ -42,13 +42,21 @@ def trend_by_group(
 
 
 def outliers(
-    df: DataFrame, x: str, y: str, ties: Sequence[str], n: int = 10, alias: str = "residual"
+    df: DataFrame,
+    x: str,
+    y: str,
+    ties: Sequence[str],
+    n: int = 10,
+    alias: str = "residual",
+    digits: int = 6,
 ) -> DataFrame:
-    """The `n` rows farthest from the trend line. Rows without x or y take no slot."""
+    """The `n` rows farthest from the trend line. Rows without x or y take no slot, and
+    distances equal up to `digits` are ordered by `ties`."""
     complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     far = F.abs(F.col(y) - F.col("__trend"))
     measured = trend(complete, x, y, "__trend").withColumn(alias, far).drop("__trend")
-    return measured.filter(F.col(alias).isNotNull()).orderBy(F.col(alias).desc(), *ties).limit(n)
+    ordered = measured.filter(F.col(alias).isNotNull()).orderBy(F.round(alias, digits).desc(), *ties)
+    return ordered.limit(n)
 
 
 def digit_matrix(

@@ -17,8 +17,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playmetrics.functions.codes import MATCHUP_FEATURES
@@ -33,6 +34,9 @@ MODELS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 INVERSE_PENALTY = 0.5
 SEED = 42
 
+# Up to here folds are dealt with one ordered window over all rows.
+DEALT_ROWS = 1_000
+
 
 def training_rows(matchups: DataFrame, features: Sequence[str] = MATCHUP_FEATURES) -> DataFrame:
     """Complete rows with the game, the target and the features, settled: training reads them
@@ -73,7 +77,7 @@ def scaled(df: DataFrame, scales: dict[str, Scale]) -> DataFrame:
 # --- models ------------------------------------------------------------------------
 
 
-def model_pipeline(name: str, rows: int, features: Sequence[str] = MATCHUP_FEATURES) -> Pipeline:
+def model_stages(name: str, rows: int, features: Sequence[str] = MATCHUP_FEATURES) -> list:
     """The named model as stages from feature columns to predictions.
 
     The scaler is a stage, so each fold fits its own. Spark's scaler divides by the sample
@@ -90,65 +94,76 @@ def model_pipeline(name: str, rows: int, features: Sequence[str] = MATCHUP_FEATU
             elasticNetParam=0.0,
             standardization=False,
         )
-        return Pipeline(stages=[vector, scaler, model])
+        return [vector, scaler, model]
     vector = vector.setOutputCol("features")
     if name == "Random Forest":
-        model = RandomForestClassifier(labelCol=TARGET, numTrees=100, maxDepth=3, seed=SEED)
-    elif name == "Gradient Boosting":
-        model = GBTClassifier(labelCol=TARGET, maxIter=50, maxDepth=2, stepSize=0.1, seed=SEED)
-    else:
-        raise ValueError(f"unknown model: {name}")
-    return Pipeline(stages=[vector, model])
+        return [vector, RandomForestClassifier(labelCol=TARGET, numTrees=100, maxDepth=3, seed=SEED)]
+    if name == "Gradient Boosting":
+        return [vector, GBTClassifier(labelCol=TARGET, maxIter=50, maxDepth=2, stepSize=0.1, seed=SEED)]
+    raise ValueError(f"unknown model: {name}")
 
 
 def with_folds(df: DataFrame, folds: int | None, key: str = "game_id") -> DataFrame:
-    """Add a fold number per row, by hash of the key. NULL folds give every row its own fold
-    (leave-one-out), which only a few hundred rows can afford: there is one fit per row."""
-    if folds is not None:
-        return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    """Add a fold number per row.
+
+    Many rows are dealt to folds by the hash of their key. A few (up to `DEALT_ROWS`) are
+    dealt in turn, in key order, so that no fold stays empty. NULL folds give every row its
+    own (leave-one-out): one fit per row, so only for a few rows.
+    """
     count = df.count()
-    if count > 500:
+    if folds is None and count > DEALT_ROWS:
         raise ValueError(f"leave-one-out would fit {count} models; give a number of folds")
-    from pyspark.sql import Window as W
-
-    # At most 500 rows, so one ordered window over all of them is a small task.
-    return df.withColumn("fold", (F.row_number().over(W.orderBy(key)) - 1).cast("int"))
+    if count > DEALT_ROWS:
+        return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    turn = F.row_number().over(W.orderBy(key)) - 1
+    return df.withColumn("fold", F.pmod(turn, F.lit(folds or count)).cast("int"))
 
 
-def compare_models(
+def cross_validate(
     train: DataFrame,
     folds: int | None = 3,
     names: Sequence[str] = MODELS,
     features: Sequence[str] = MATCHUP_FEATURES,
-) -> DataFrame:
-    """Accuracy of each model over the folds, best first; a tie goes to the earlier model."""
+) -> CrossValidatorModel:
+    """Fit every model on every fold, and the most accurate one on all rows.
+
+    The models are one parameter of a single pipeline, so Spark fits them side by side. A tie
+    goes to the earlier name.
+    """
     rows = train.count()
     folded = settle(with_folds(train, folds))
-    count = rows if folds is None else folds
-    accuracy = MulticlassClassificationEvaluator(labelCol=TARGET, metricName="accuracy")
-    results = []
-    for place, name in enumerate(names):
-        validator = CrossValidator(
-            estimator=model_pipeline(name, rows, features),
-            estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=accuracy,
-            numFolds=count,
-            foldCol="fold",
-        )
-        results.append((place, name, float(validator.fit(folded).avgMetrics[0])))
-    table = train.sparkSession.createDataFrame(results, "place int, model string, accuracy double")
+    pipeline = Pipeline(stages=[])
+    validator = CrossValidator(
+        estimator=pipeline,
+        estimatorParamMaps=[{pipeline.stages: model_stages(n, rows, features)} for n in names],
+        evaluator=MulticlassClassificationEvaluator(labelCol=TARGET, metricName="accuracy"),
+        numFolds=folds or rows,
+        foldCol="fold",
+        parallelism=len(names),
+    )
+    return validator.fit(folded)
+
+
+def accuracy_table(
+    spark: SparkSession, validated: CrossValidatorModel, names: Sequence[str] = MODELS
+) -> DataFrame:
+    """Mean accuracy of each model over the folds, best first."""
+    rows = [(i, n, float(a)) for i, (n, a) in enumerate(zip(names, validated.avgMetrics, strict=True))]
+    table = spark.createDataFrame(rows, "place int, model string, accuracy double")
     return table.orderBy(F.col("accuracy").desc(), "place")
 
 
 def fit_model(train: DataFrame, name: str, features: Sequence[str] = MATCHUP_FEATURES) -> PipelineModel:
-    return model_pipeline(name, train.count(), features).fit(train)
+    return Pipeline(stages=model_stages(name, train.count(), features)).fit(train)
 
 
 def fit_best(
     train: DataFrame, folds: int | None = 3, features: Sequence[str] = MATCHUP_FEATURES
 ) -> tuple[str, PipelineModel]:
-    best = compare_models(train, folds, features=features).first()["model"]
-    return best, fit_model(train, best, features)
+    """The most accurate model by name, fitted on all rows."""
+    validated = cross_validate(train, folds, features=features)
+    best = accuracy_table(train.sparkSession, validated).first()["model"]
+    return best, validated.bestModel
 
 
 # --- importances -------------------------------------------------------------------

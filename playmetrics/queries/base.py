@@ -14,7 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+# Doubles are compared at this many digits. The nudge keeps means such as 0.2328125, which lie
+# halfway between two roundings, from falling to different sides in the two engines.
 DIGITS = 6
+NUDGE = 1e-9
 
 VIEWS = {
     "plays": surrogate.oracle_view(surrogate.PLAYS_SQL),
@@ -42,7 +45,7 @@ def query(
             parts = {v: VIEWS[v] for v in views} | (ctes or {})
             text = sql
             if doubles:
-                replaced = ", ".join(f"round({c}, {DIGITS}) + 0 AS {c}" for c in doubles)
+                replaced = ", ".join(f"round({c} + {NUDGE}, {DIGITS}) + 0 AS {c}" for c in doubles)
                 text = f"SELECT * REPLACE ({replaced}) FROM ({sql}) AS result"
             heads = ",\n".join(f"{n} AS (\n{body}\n)" for n, body in parts.items())
             SQL[name] = f"WITH {heads}\n{text}" if heads else text
@@ -52,4 +55,4 @@ def query(
 
 
 def rounded(df: DataFrame, doubles: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.round(c, DIGITS) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, DIGITS) + F.lit(0.0) for c in doubles})

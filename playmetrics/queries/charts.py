@@ -53,11 +53,11 @@ def trend_by_group(spark, sf_dir):
 
 @query(
     "outliers",
-    f"""SELECT passer_id, season, dropbacks, total_epa, round(abs(total_epa - fit), 6) AS residual
+    f"""SELECT passer_id, season, dropbacks, total_epa, abs(total_epa - fit) AS residual
         FROM (SELECT *, {fit_sql("dropbacks", "total_epa", "OVER ()")} AS fit FROM stats) AS s
-        ORDER BY residual DESC, passer_id, season LIMIT 10""",
+        ORDER BY round(residual, 6) DESC, passer_id, season LIMIT 10""",
     ["plays"],
-    ["total_epa"],
+    ["total_epa", "residual"],
     ctes={"stats": STATS},
 )
 def outliers(spark, sf_dir):

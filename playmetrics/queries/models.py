@@ -99,7 +99,7 @@ def scaled_features(spark, sf_dir):
 
 @query("model_compare")
 def model_compare(spark, sf_dir):
-    return models.compare_models(training(spark, sf_dir), folds=3)
+    return models.accuracy_table(spark, models.cross_validate(training(spark, sf_dir), folds=3))
 
 
 @query("predictions")
