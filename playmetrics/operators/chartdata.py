@@ -120,13 +120,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The diagonal is 1 for a column that varies, as a correlation with itself is.
     """
-    pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
-    figures = df.agg(*[guarded_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        cells.append((a, b, f"{a}|{b}"))
-        if a != b:
-            cells.append((b, a, f"{a}|{b}"))
+    pairs = list(combinations(columns, 2))
+    own = {c: F.when(F.min(c) < F.max(c), F.lit(1.0)) for c in columns}
+    figures = df.agg(
+        *[guarded_corr(a, b).alias(f"{a}|{b}") for a, b in pairs],
+        *[one.alias(f"{c}|{c}") for c, one in own.items()],
+    )
+    cells = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs]
+    cells += [(c, c, f"{c}|{c}") for c in columns]
     entries = F.array(
         *[
             F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{c}`").alias("correlation"))

@@ -1,9 +1,8 @@
 """Operators that depend on row order, safe for groups of any size.
 
 Spark rows have no order, so each operator takes `order_by`; it should be a total order
-within a group. Where every group is small a plain window does the work. Where one group
-is too large for a task, the rows are range-partitioned on (group, order) instead, so that
-the group is spread over many blocks:
+within a group. Groups that fit a task get a plain window. The rows of groups that do not
+are range-partitioned on (group, order) instead, so that a group is spread over many blocks:
 
 * running sums and positions are taken inside a block, and the totals of the group's
   earlier blocks are added. Only groups that cross a block border have such totals, so
@@ -22,7 +21,14 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from playmetrics.operators.sizing import GROUP_ROWS, group_rows, same_keys, settle
+from playmetrics.operators.sizing import (
+    BROADCAST_ROWS,
+    GROUP_ROWS,
+    group_rows,
+    large_groups,
+    same_keys,
+    settle,
+)
 
 BLOCK, SEQ, POSITION, CHUNK = "__block", "__seq", "__position", "__chunk"
 
@@ -35,6 +41,30 @@ def names(keys: str | Sequence[str] | None) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def by_group_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    group_limit: int,
+    plain: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame, int], DataFrame],
+) -> DataFrame:
+    """`plain` for the rows of groups up to the limit, `split` (given the row count) for the rest."""
+    largest, rows = group_rows(df, keys)
+    if keys and largest <= group_limit:
+        return plain(df)
+    if not keys:
+        return split(df, rows)
+    large = settle(large_groups(df, keys, group_limit))
+    counted = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("__size").alias("rows")).first()
+    if counted["groups"] > BROADCAST_ROWS:
+        return split(df, rows)
+    renamed = {c: f"__key_{c}" for c in keys}
+    side = F.broadcast(large.drop("__size").withColumnsRenamed(renamed))
+    same = same_keys(df, side, renamed)
+    fitting, hot = df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
+    return plain(fitting).unionByName(split(hot, counted["rows"]))
+
+
 def blocks(df: DataFrame, keys: Sequence[str], order_by: Order, rows: int, group_limit: int) -> DataFrame:
     """Range-partition on (keys, order) and number partitions and the rows inside them."""
     shuffle_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -97,24 +127,28 @@ def with_windows(
     Each measure gets the ordered window of its group and returns a column over it.
     """
     keys = names(partition_by)
-    largest, rows = group_rows(df, keys)
-    if keys and largest <= group_limit:
-        spec = W.partitionBy(*keys).orderBy(*order_by)
-        return df.withColumns({a: measure(spec) for a, measure in measures.items()})
-
-    size = max(group_limit, before + after, 1)
-    home = F.floor((F.col(POSITION) - 1) / size)
-    inside = F.pmod(F.col(POSITION) - 1, F.lit(size))
-    seen_by = F.array(
-        home,
-        F.when(inside >= size - before, home + 1),
-        F.when((inside < after) & (home > 0), home - 1),
-    )
-    placed = with_positions(df, keys, order_by, rows, group_limit)
-    spread = placed.withColumn(CHUNK, F.explode(F.array_compact(seen_by)))
-    spec = W.partitionBy(*keys, CHUNK).orderBy(POSITION)
-    measured = spread.withColumns({a: measure(spec) for a, measure in measures.items()})
-    return measured.filter(F.col(CHUNK) == home).drop(CHUNK, POSITION)
+
+    def over(part: DataFrame, spec: WindowSpec) -> DataFrame:
+        return part.withColumns({a: measure(spec) for a, measure in measures.items()})
+
+    def plain(part: DataFrame) -> DataFrame:
+        return over(part, W.partitionBy(*keys).orderBy(*order_by))
+
+    def split(part: DataFrame, rows: int) -> DataFrame:
+        size = max(group_limit, before + after, 1)
+        home = F.floor((F.col(POSITION) - 1) / size)
+        inside = F.pmod(F.col(POSITION) - 1, F.lit(size))
+        seen_by = F.array(
+            home,
+            F.when(inside >= size - before, home + 1),
+            F.when((inside < after) & (home > 0), home - 1),
+        )
+        placed = with_positions(part, keys, order_by, rows, group_limit)
+        spread = placed.withColumn(CHUNK, F.explode(F.array_compact(seen_by)))
+        measured = over(spread, W.partitionBy(*keys, CHUNK).orderBy(POSITION))
+        return measured.filter(F.col(CHUNK) == home).drop(CHUNK, POSITION)
+
+    return by_group_size(df, keys, group_limit, plain, split)
 
 
 def running_total(
@@ -128,19 +162,22 @@ def running_total(
 ) -> DataFrame:
     """Running sum. A NULL value gives NULL in its own row and counts as nothing after it."""
     keys = names(partition_by)
-    largest, rows = group_rows(df, keys)
-    if keys and largest <= group_limit:
-        spec = W.partitionBy(*keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
-        total = F.sum(value).over(spec)
-        return df.withColumn(alias, F.when(F.col(value).isNotNull(), total))
+    known = F.col(value).isNotNull()
 
-    blocked = blocks(df, keys, order_by, rows, group_limit)
-    spec = W.partitionBy(*keys, BLOCK).orderBy(SEQ).rowsBetween(W.unboundedPreceding, 0)
-    joined = add_earlier(blocked, keys, {"__earlier": F.sum(value)})
-    total = F.sum(value).over(spec) + F.coalesce(F.col("__earlier"), F.lit(0))
-    return joined.withColumn(alias, F.when(F.col(value).isNotNull(), total)).drop(
-        "__earlier", SEQ, BLOCK
-    )
+    def so_far(*partition: str, order: Order) -> Column:
+        spec = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return F.sum(value).over(spec)
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(alias, F.when(known, so_far(*keys, order=order_by)))
+
+    def split(part: DataFrame, rows: int) -> DataFrame:
+        blocked = blocks(part, keys, order_by, rows, group_limit)
+        joined = add_earlier(blocked, keys, {"__earlier": F.sum(value)})
+        total = so_far(*keys, BLOCK, order=[SEQ]) + F.coalesce(F.col("__earlier"), F.lit(0))
+        return joined.withColumn(alias, F.when(known, total)).drop("__earlier", SEQ, BLOCK)
+
+    return by_group_size(df, keys, group_limit, plain, split)
 
 
 def cumulative_epa(
@@ -277,12 +314,16 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group 1, 2, ... in order."""
     keys = names(partition_by)
-    largest, rows = group_rows(df, keys)
-    if keys and largest <= group_limit:
+
+    def plain(part: DataFrame) -> DataFrame:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by))
-        return df.withColumn(alias, number.cast("long"))
-    placed = with_positions(df, keys, order_by, rows, group_limit)
-    return placed.withColumn(alias, F.col(POSITION).cast("long")).drop(POSITION)
+        return part.withColumn(alias, number.cast("long"))
+
+    def split(part: DataFrame, rows: int) -> DataFrame:
+        placed = with_positions(part, keys, order_by, rows, group_limit)
+        return placed.withColumn(alias, F.col(POSITION).cast("long")).drop(POSITION)
+
+    return by_group_size(df, keys, group_limit, plain, split)
 
 
 def rank_within_group(
@@ -301,14 +342,23 @@ def rank_within_group(
     of doubles differ in the last bits from run to run, and equal ones should stay equal.
     """
     keys = names(partition_by)
-    largest, rows = group_rows(df, keys)
-    for value in names(values):
-        c = F.col(value)
-        compared = c if digits is None else F.round(c, digits)
-        order = [compared.desc_nulls_last() if descending else compared.asc_nulls_last(), *ties]
-        if keys and largest <= group_limit:
-            rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        else:
-            df, rank = with_positions(df, keys, order, rows, group_limit), F.col(POSITION)
-        df = df.withColumn(f"{value}_rank", F.when(c.isNotNull(), rank.cast("long"))).drop(POSITION)
-    return df
+
+    def order(value: str) -> list[str | Column]:
+        compared = F.col(value) if digits is None else F.round(value, digits)
+        first = compared.desc_nulls_last() if descending else compared.asc_nulls_last()
+        return [first, *ties]
+
+    def ranked(value: str, rank: Column) -> Column:
+        return F.when(F.col(value).isNotNull(), rank.cast("long"))
+
+    def plain(part: DataFrame) -> DataFrame:
+        numbers = {v: F.row_number().over(W.partitionBy(*keys).orderBy(*order(v))) for v in names(values)}
+        return part.withColumns({f"{v}_rank": ranked(v, n) for v, n in numbers.items()})
+
+    def split(part: DataFrame, rows: int) -> DataFrame:
+        for v in names(values):
+            placed = with_positions(part, keys, order(v), rows, group_limit)
+            part = placed.withColumn(f"{v}_rank", ranked(v, F.col(POSITION))).drop(POSITION)
+        return part
+
+    return by_group_size(df, keys, group_limit, plain, split)

@@ -88,3 +88,9 @@ def group_rows(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
     return row["largest"] or 0, row["rows"] or 0
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys and `__size` of the groups with more than `limit` rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    return sizes.filter(F.col("__size") > limit)
