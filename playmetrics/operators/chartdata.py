@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from playmetrics.functions.measures import guarded_corr
 from playmetrics.operators.grouped import linear_quantiles
 from playmetrics.operators.ordered import names
-from playmetrics.operators.sizing import attach
+from playmetrics.operators.sizing import attach, settle
 
 
 def line_fit(x: str, y: str) -> Column:
@@ -63,15 +63,16 @@ def digit_matrix(
     df: DataFrame, home_digit: str = "home_digit", away_digit: str = "away_digit"
 ) -> DataFrame:
     """Percent of games per pair of final digits, all hundred pairs, 0 where none occurred."""
-    counts = df.groupBy(home_digit, away_digit).agg(F.count(F.lit(1)).alias("__games"))
+    counts = settle(df.groupBy(home_digit, away_digit).agg(F.count(F.lit(1)).alias("__games")))
     total = counts.agg(F.sum("__games").alias("__all")).scalar()
     cells = df.sparkSession.range(100).select(
         F.floor(F.col("id") / 10).cast("int").alias("__home"),
         F.pmod("id", F.lit(10)).cast("int").alias("__away"),
     )
     same = (cells["__home"] == counts[home_digit]) & (cells["__away"] == counts[away_digit])
-    # The cells are a hundred rows, and so are the counts.
-    return cells.join(F.broadcast(counts), same, "left").select(
+    # A hundred cells at most have counts.
+    found = counts.filter(counts[home_digit].between(0, 9) & counts[away_digit].between(0, 9))
+    return cells.join(F.broadcast(found), same, "left").select(
         F.col("__home").alias(home_digit),
         F.col("__away").alias(away_digit),
         F.coalesce(F.col("__games"), F.lit(0)).alias("count"),

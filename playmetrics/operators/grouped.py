@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playmetrics.operators.ordered import names, running_total
-from playmetrics.operators.sizing import GROUP_ROWS, attach, settle
+from playmetrics.operators.sizing import GROUP_ROWS, attach, settle_table
 
 
 def above_group_mean(
@@ -39,10 +39,11 @@ def pct_of_group_total(df: DataFrame, value: str, group: str | Sequence[str], **
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str], group_limit: int = GROUP_ROWS) -> DataFrame:
     """Distinct values of each group with their count, running count and the group's count."""
-    counts = settle(
+    counts = settle_table(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__rows"))
+        .agg(F.count(F.lit(1)).alias("__rows")),
+        "values",
     )
     sizes = counts.groupBy(*keys).agg(F.sum("__rows").alias("__n"))
     running = running_total(counts, "__rows", "__upto", keys, [value], group_limit=group_limit)

@@ -22,12 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playmetrics.operators.sizing import (
-    BROADCAST_ROWS,
     GROUP_ROWS,
     group_rows,
     large_groups,
     same_keys,
     settle,
+    settle_table,
+    small_enough,
 )
 
 BLOCK, SEQ, POSITION, CHUNK = "__block", "__seq", "__position", "__chunk"
@@ -55,14 +56,14 @@ def by_group_size(
     if not keys:
         return split(df, rows)
     large = settle(large_groups(df, keys, group_limit))
-    counted = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("__size").alias("rows")).first()
-    if counted["groups"] > BROADCAST_ROWS:
+    if not small_enough(large):
         return split(df, rows)
+    large_rows = large.agg(F.sum("__size").alias("rows")).first()["rows"]
     renamed = {c: f"__key_{c}" for c in keys}
     side = F.broadcast(large.drop("__size").withColumnsRenamed(renamed))
     same = same_keys(df, side, renamed)
     fitting, hot = df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
-    return plain(fitting).unionByName(split(hot, counted["rows"]))
+    return plain(fitting).unionByName(split(hot, large_rows))
 
 
 def blocks(df: DataFrame, keys: Sequence[str], order_by: Order, rows: int, group_limit: int) -> DataFrame:
@@ -76,8 +77,8 @@ def blocks(df: DataFrame, keys: Sequence[str], order_by: Order, rows: int, group
         .withColumn(SEQ, F.monotonically_increasing_id())
         .withColumn(BLOCK, F.shiftright(F.col(SEQ), 33))
     )
-    # Range borders are sampled: settle them, as two branches below must see the same ones.
-    return settle(numbered)
+    # Range borders are sampled: write them down, as two branches below must see the same ones.
+    return settle_table(numbered, "blocks")
 
 
 def earlier_blocks(blocked: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playmetrics.operators.ordered import names
-from playmetrics.operators.sizing import same_keys, settle
+from playmetrics.operators.sizing import same_keys, settle, small_enough
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def union_on_common(left: DataFrame, right: DataFrame) -> DataFrame:
 def replace_seasons(stored: DataFrame, new: DataFrame, season: str = "season") -> DataFrame:
     """All rows of `new`, and the stored rows of every season that `new` does not have."""
     seasons = settle(new.select(F.col(season).alias("__season")).distinct())
-    if seasons.count() <= 10_000:
+    if small_enough(seasons):
         seasons = F.broadcast(seasons)
     kept = stored.join(seasons, stored[season] == seasons["__season"], "left_anti")
     return union_on_common(kept, new)

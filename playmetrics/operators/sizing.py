@@ -9,9 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is broadcast up to this many rows (some tens of MB for the narrow
-# per-group frames it is used on). Beyond it the join shuffles and AQE splits skewed keys.
-BROADCAST_ROWS = 200_000
+# A side of a join is broadcast up to this measured size. Beyond it the join shuffles, and
+# AQE splits skewed keys.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # A window partition may hold this many rows in one task. Beyond it the ordered operators
 # split the group into blocks.
@@ -51,6 +51,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """The same for frames that may be as large as the input: a Parquet table, which is
+    compressed and read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a settled frame fit the limit: the length of texts and 16 bytes
+    for every other value."""
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    width = 16 * len(df.columns)
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts]
+    size = F.sum(sum(lengths, F.lit(width).cast("long")))
+    return (df.agg(size.alias("size")).first()["size"] or 0) <= limit
+
+
 def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     """Null-safe equality of the key pairs: NULL is a group like any other."""
     condition = F.lit(True)
@@ -65,19 +83,19 @@ def attach(
     on: Sequence[str] | dict[str, str],
     *,
     settled: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left-join a frame that has one row per key onto a much larger one.
 
-    The side is settled and counted first. Up to `broadcast_rows` rows it is broadcast and
-    the large frame does not move; beyond that both are shuffled on the key. `on` maps
-    columns of `df` to columns of `side`; the key columns of the side are dropped.
+    The side is settled and measured first. Up to `broadcast_bytes` it is broadcast and the
+    large frame does not move; beyond that both are shuffled on the key. `on` maps columns of
+    `df` to columns of `side`; the key columns of the side are dropped.
     """
     pairs = dict(on) if isinstance(on, dict) else {c: c for c in on}
     side = side if settled else settle(side)
     renamed = {b: f"__key_{b}" for b in pairs.values()}
     other = side.withColumnsRenamed(renamed)
-    if side.count() <= broadcast_rows:
+    if small_enough(side, broadcast_bytes):
         other = F.broadcast(other)
     condition = same_keys(df, other, {a: renamed[b] for a, b in pairs.items()})
     return df.join(other, condition, "left").drop(*renamed.values())

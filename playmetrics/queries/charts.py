@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from playmetrics.functions.scalars import game_outcomes
 from playmetrics.operators import chartdata, ordered
+from playmetrics.operators.sizing import settle
 from playmetrics.plans import players, seasons, teams
 from playmetrics.queries.base import query
 from playmetrics.queries.people import STATS
@@ -34,7 +35,7 @@ def fit_sql(x: str, y: str, over: str = "") -> str:
     ctes={"passing": PASSING},
 )
 def trend(spark, sf_dir):
-    return chartdata.trend(seasons.season_passing(surrogate.plays(spark, sf_dir)))
+    return chartdata.trend(settle(seasons.season_passing(surrogate.plays(spark, sf_dir))))
 
 
 @query(
@@ -47,7 +48,7 @@ def trend(spark, sf_dir):
 )
 def trend_by_group(spark, sf_dir):
     rows = teams.offense_seasons(surrogate.plays(spark, sf_dir))
-    rows = rows.select("posteam", "season", "off_epa_per_play")
+    rows = settle(rows.select("posteam", "season", "off_epa_per_play"))
     return chartdata.trend_by_group(rows, "posteam", "season", "off_epa_per_play")
 
 
@@ -62,7 +63,7 @@ def trend_by_group(spark, sf_dir):
 )
 def outliers(spark, sf_dir):
     stats = players.passer_seasons(surrogate.plays(spark, sf_dir), PLAY_ORDER)
-    rows = stats.select("passer_id", "season", "dropbacks", "total_epa")
+    rows = settle(stats.select("passer_id", "season", "dropbacks", "total_epa"))
     return chartdata.outliers(rows, "dropbacks", "total_epa", ["passer_id", "season"])
 
 

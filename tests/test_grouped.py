@@ -7,7 +7,7 @@ from playmetrics.operators import grouped as G
 from playmetrics.operators.sizing import attach
 
 COLUMNS = "season int, nth long, epa double"
-OPTIONS = [pytest.param({}, id="broadcast"), pytest.param({"broadcast_rows": 0}, id="shuffled")]
+OPTIONS = [pytest.param({}, id="broadcast"), pytest.param({"broadcast_bytes": 0}, id="shuffled")]
 
 
 def make_rows():
@@ -106,8 +106,8 @@ def test_group_without_values(spark):
 def test_attach_keeps_all_rows_and_null_keys(spark):
     left = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k int, v string")
     side = spark.createDataFrame([(1, 10), (None, 20)], "k int, w int")
-    for rows in (0, 100):
-        got = attach(left, side, ["k"], broadcast_rows=rows)
+    for size in (0, 10_000):
+        got = attach(left, side, ["k"], broadcast_bytes=size)
         assert got.columns == ["k", "v", "w"]
         assert {r["v"]: r["w"] for r in got.collect()} == {"x": 10, "y": 20, "z": None}
 
@@ -117,5 +117,5 @@ def test_small_side_is_broadcast_and_large_side_is_not(plays):
         return G.above_group_mean(plays, **options)._jdf.queryExecution().executedPlan().toString()
 
     assert "BroadcastHashJoin" in plan()
-    shuffled = plan(broadcast_rows=0)
+    shuffled = plan(broadcast_bytes=0)
     assert "CartesianProduct" not in shuffled and "NestedLoop" not in shuffled
