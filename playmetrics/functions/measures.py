@@ -97,48 +97,56 @@ def defensive_stats() -> list[Column]:
     ]
 
 
-def team_offensive_features() -> list[Column]:
+def among(rows: Column | None, value: str) -> Column:
+    """The value in some of the rows, or in all of them."""
+    return F.col(value) if rows is None else F.when(rows, F.col(value))
+
+
+def team_offensive_features(rows: Column | None = None) -> list[Column]:
     """Fourteen offensive measures of a team season for the matchup model."""
+    epa = among(rows, "epa")
     passing, running = F.col("play_type") == "pass", F.col("play_type") == "run"
     red_zone, third_down = F.col("yardline_100") <= 20, F.col("down") == 3
     return [
-        total("epa").alias("off_epa"),
-        F.avg("epa").alias("off_epa_per_play"),
-        share(F.col("epa") > 0).alias("off_success_rate"),
-        total_where(passing, "epa").alias("pass_epa"),
-        mean_where(passing, "epa").alias("pass_epa_per_play"),
-        total_where(running, "epa").alias("rush_epa"),
-        mean_where(running, "epa").alias("rush_epa_per_play"),
-        share(F.col("epa") > 1.5).alias("explosive_rate"),
-        total_where(red_zone, "epa").alias("redzone_epa"),
-        mean_where(red_zone, "epa").alias("redzone_epa_per_play"),
-        total_where(third_down, "epa").alias("third_down_epa"),
-        mean_where(third_down, "epa").alias("third_down_epa_per_play"),
-        total("interception").alias("interceptions_thrown"),
-        total("fumble_lost").alias("fumbles_lost"),
+        total(epa).alias("off_epa"),
+        F.avg(epa).alias("off_epa_per_play"),
+        share(epa > 0).alias("off_success_rate"),
+        total_where(passing, epa).alias("pass_epa"),
+        mean_where(passing, epa).alias("pass_epa_per_play"),
+        total_where(running, epa).alias("rush_epa"),
+        mean_where(running, epa).alias("rush_epa_per_play"),
+        share(epa > 1.5).alias("explosive_rate"),
+        total_where(red_zone, epa).alias("redzone_epa"),
+        mean_where(red_zone, epa).alias("redzone_epa_per_play"),
+        total_where(third_down, epa).alias("third_down_epa"),
+        mean_where(third_down, epa).alias("third_down_epa_per_play"),
+        total(among(rows, "interception")).alias("interceptions_thrown"),
+        total(among(rows, "fumble_lost")).alias("fumbles_lost"),
     ]
 
 
-def team_defensive_features() -> list[Column]:
+def team_defensive_features(rows: Column | None = None) -> list[Column]:
     """Nine defensive measures of a team season for the matchup model."""
+    epa = among(rows, "epa")
     return [
-        total("epa").alias("def_epa_allowed"),
-        F.avg("epa").alias("def_epa_per_play"),
-        share(F.col("epa") > 0).alias("opp_success_rate"),
-        total("sack").alias("sacks"),
-        total("qb_hit").alias("qb_hits"),
-        total("interception").alias("interceptions"),
-        total("fumble_forced").alias("fumbles_forced"),
-        total_where(F.col("yardline_100") <= 20, "epa").alias("redzone_epa_allowed"),
-        total_where(F.col("down") == 3, "epa").alias("third_down_epa_allowed"),
+        total(epa).alias("def_epa_allowed"),
+        F.avg(epa).alias("def_epa_per_play"),
+        share(epa > 0).alias("opp_success_rate"),
+        total(among(rows, "sack")).alias("sacks"),
+        total(among(rows, "qb_hit")).alias("qb_hits"),
+        total(among(rows, "interception")).alias("interceptions"),
+        total(among(rows, "fumble_forced")).alias("fumbles_forced"),
+        total_where(F.col("yardline_100") <= 20, epa).alias("redzone_epa_allowed"),
+        total_where(F.col("down") == 3, epa).alias("third_down_epa_allowed"),
     ]
 
 
-def postseason_features() -> list[Column]:
+def postseason_features(rows: Column | None = None) -> list[Column]:
+    epa = among(rows, "epa")
     return [
-        total("epa").alias("playoff_off_epa"),
-        F.avg("epa").alias("playoff_off_epa_per_play"),
-        F.count(F.lit(1)).alias("playoff_plays"),
+        total(epa).alias("playoff_off_epa"),
+        F.avg(epa).alias("playoff_off_epa_per_play"),
+        F.count(F.lit(1) if rows is None else F.when(rows, 1)).alias("playoff_plays"),
     ]
 
 

@@ -9,7 +9,7 @@ from playmetrics.functions.scalars import fill, game_winner, spread_to_win_prob
 from playmetrics.operators.relational import prefix_columns
 from playmetrics.operators.sizing import attach, settle
 from playmetrics.plans.players import rating_features
-from playmetrics.plans.teams import postseason, team_season_matrix
+from playmetrics.plans.teams import team_season_profiles
 from playmetrics.sources.tables import final_games
 
 # Stand-ins for missing ratings, postseason and market figures.
@@ -61,12 +61,9 @@ def team_profiles(
     plays: DataFrame, ratings: DataFrame, exclude_games: DataFrame | None = None
 ) -> DataFrame:
     """Regular season, postseason and ratings of each team season in one row."""
-    matrix = team_season_matrix(plays)
-    playoffs = postseason(plays, exclude_games)
+    seasons = team_season_profiles(plays, exclude_games)
     ranks = rating_features(ratings).withColumnRenamed("team", "posteam")
-    return matrix.join(playoffs, ["posteam", "season"], "left").join(
-        ranks, ["posteam", "season"], "left"
-    )
+    return seasons.join(ranks, ["posteam", "season"], "left")
 
 
 def difference(column: str) -> Column:
