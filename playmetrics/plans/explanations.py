@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetrics.functions.codes import FEATURE_MEANINGS, FEATURE_PHRASES, TEAM_NAMES
@@ -88,6 +88,25 @@ GAME_REPORT = """Super Bowl {season}: {home_team} vs {away_team}
 {contributions}"""
 
 
+REPORT_HEAD = """======================================================================
+SUPER BOWL PREDICTION MODEL REPORT
+Model: {model}
+======================================================================
+
+MODEL PERFORMANCE
+----------------------------------------
+Overall Accuracy: {accuracy}
+Correct Predictions: {correct} / {games}
+"""
+REPORT_IMPORTANCE = """FEATURE IMPORTANCE
+----------------------------------------
+{lines}
+"""
+REPORT_GAMES = """INDIVIDUAL GAME BREAKDOWN
+----------------------------------------
+"""
+
+
 def fill_in(text: str, parts: dict[str, Column]) -> Column:
     """The text with each `{name}` replaced by the column of that name."""
     pieces = re.split(r"\{(\w+)\}", text)
@@ -285,3 +304,50 @@ def game_report(contributions: Column | str = "contributions", actual: Column |
             "contributions": F.array_join(lines, "\n"),
         },
     )
+
+
+def prediction_report(predicted: DataFrame, importances: DataFrame, model: str) -> DataFrame:
+    """The report as ordered texts (`part`, `season`, `game_id`, `text`): the accuracy, the
+    importances, and one text per game."""
+    none = {"season": F.lit(None).cast("int"), "game_id": F.lit(None).cast("long")}
+
+    def part(df: DataFrame, number: int, text: Column, **keys: Column) -> DataFrame:
+        found = {**none, **keys}
+        return df.select(F.lit(number).alias("part"), *[c.alias(k) for k, c in found.items()], text.alias("text"))
+
+    summary = predicted.agg(
+        F.count(F.lit(1)).alias("games"), F.count_if(F.col("predicted_winner") == F.col("winner")).alias("right")
+    )
+    head = {
+        "model": F.lit(model),
+        "accuracy": percent(F.try_divide("right", "games"), 1),
+        "correct": F.col("right").cast("string"),
+        "games": F.col("games").cast("string"),
+    }
+    # One entry per feature.
+    entries = importances.agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("key"), "feature", "importance_pct"))).alias("e")
+    )
+    line = F.transform("e", lambda e: F.concat(F.lit("  "), e["feature"], F.lit(": "), one_decimal(e["importance_pct"]), F.lit("%")))
+    parts = [
+        part(summary, 1, fill_in(REPORT_HEAD, head)),
+        part(entries, 2, fill_in(REPORT_IMPORTANCE, {"lines": F.array_join(line, "\n")})),
+        part(predicted.sparkSession.range(1), 3, F.lit(REPORT_GAMES)),
+        part(
+            predicted,
+            4,
+            F.concat(game_report(), F.lit("\n")),
+            season=F.col("season").cast("int"),
+            game_id=F.col("game_id").cast("long"),
+        ),
+    ]
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    return report.orderBy("part", "season", "game_id")
+
+
+def feature_dictionary(spark: SparkSession) -> DataFrame:
+    """The feature dictionary as a table, to join in SQL."""
+    rows = [(f, *m) for f, m in FEATURE_MEANINGS.items()]
+    return spark.createDataFrame(rows, "feature string, name string, description string, positive string, negative string")

@@ -319,3 +319,15 @@ def contribution_lines(spark, sf_dir):
 def game_reports(spark, sf_dir):
     rated = linear_contributions(spark, sf_dir)
     return rated.select("game_id", explanations.game_report().alias("report"))
+
+
+@query("prediction_report")
+def prediction_report(spark, sf_dir):
+    """The report on a fitted model: accuracy, importances, and a text per game."""
+    games = games_with_features(spark, sf_dir)
+    model = models.fit_model(games, "Random Forest")
+    means = {f: s.mean for f, s in models.fit_scales(games, FEATURES).items()}
+    predicted = models.predictions(games, model)
+    explained = settle(models.replacement_contributions(predicted, model, means))
+    table = models.importance_table(games, model)
+    return explanations.prediction_report(explained, table, "Random Forest")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,28 @@ def only_seasons(df: DataFrame, seasons: Iterable[int] | None) -> DataFrame:
     return df if seasons is None else df.filter(F.col("season").isin(*seasons))
 
 
+def first_table(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
+    """The first of the Parquet tables that exists."""
+    for i, path in enumerate(paths):
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        try:
+            return reader.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND" or i == len(paths) - 1:
+                raise
+    raise ValueError("no paths given")
+
+
 def load_plays(
-    spark: SparkSession, path: str, seasons: Iterable[int] | None = None, schema: str | None = None
+    spark: SparkSession,
+    path: str,
+    seasons: Iterable[int] | None = None,
+    schema: str | None = None,
+    full_path: str | None = None,
 ) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return only_seasons(reader.parquet(path), seasons)
+    """The plays at `path` (often a table of few columns), or those at `full_path` if it is missing."""
+    paths = [path] if full_path is None else [path, full_path]
+    return only_seasons(first_table(spark, paths, schema), seasons)
 
 
 def load_schedules(

@@ -146,3 +146,24 @@ def test_game_report(spark):
         "Super Bowl 2023: KC vs SF\n  Predicted Winner: KC (70.0% confident)\n  Actual Winner: KC\n"
         "  Result: ✓ CORRECT\n  Feature Contributions:\n    - off_epa_diff: +2.0 pp\n    - spread_line: -31.2 pp"
     )
+
+
+def test_prediction_report(spark):
+    games = prediction(spark, off_epa_diff=2.0).withColumn("game_id", F.lit(7))
+    lost = prediction(spark, winner="SF", off_epa_diff=-2.0).withColumns(
+        {"game_id": F.lit(3), "season": F.lit(2020)}
+    )
+    importances = spark.createDataFrame(
+        [("off_epa_diff", 0.25, 25.0), ("qb_ovr_diff", 0.75, 75.0)], "feature string, importance double, importance_pct double"
+    )
+    rows = E.prediction_report(games.unionByName(lost), importances, "Gradient Boosting").collect()
+    assert [(r["part"], r["season"]) for r in rows] == [(1, None), (2, None), (3, None), (4, 2020), (4, 2023)]
+    whole = "\n".join(r["text"] for r in rows)
+    assert "Model: Gradient Boosting\n" in whole
+    assert "Overall Accuracy: 50.0%\nCorrect Predictions: 1 / 2\n" in whole
+    assert "  qb_ovr_diff: 75.0%\n  off_epa_diff: 25.0%\n" in whole
+    assert "Super Bowl 2020: KC vs SF\n  Predicted Winner: SF (70.0% confident)" in whole
+
+
+def test_feature_dictionary(spark):
+    assert E.feature_dictionary(spark).count() == 16

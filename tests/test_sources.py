@@ -144,3 +144,13 @@ def test_settled_rows_do_not_change(spark):
     df = sizing.settle(spark.range(100).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
     assert "Rand" not in plan(df)
+
+
+def test_full_table_stands_in_for_a_missing_one(spark, plays, tmp_path):
+    slim, full = str(tmp_path / "slim"), str(tmp_path / "full")
+    plays.write.parquet(full)
+    assert tables.load_plays(spark, slim, [2001], full_path=full).count() == 2
+    plays.limit(1).write.parquet(slim)
+    assert tables.load_plays(spark, slim, full_path=full).count() == 1
+    with pytest.raises(AnalysisException):
+        tables.load_plays(spark, str(tmp_path / "none"))
