@@ -197,16 +197,20 @@ def values_sql(rows: list[tuple[str, ...]], columns: str) -> str:
 MEANINGS = values_sql([(f, *m) for f, m in FEATURE_MEANINGS.items()], "feature, name, description, positive, negative")
 
 
+def readable_sql(feature: str) -> str:
+    words = f"string_split(replace({feature}, '_diff', ''), '_')"
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
 @query(
     "feature_texts",
-    """SELECT l.game_id, l.feature, l.value,
+    f"""SELECT l.game_id, l.feature, l.value,
               m.name || ': ' || CASE WHEN l.value > 0 THEN m.positive ELSE m.negative END AS explanation,
               CASE WHEN contains(l.feature, 'ovr') THEN 'Madden Rating'
                    WHEN contains(l.feature, 'spread') OR contains(l.feature, 'total')
                         OR contains(l.feature, 'implied') THEN 'Vegas Market'
                    ELSE 'PBP/EPA Stats' END AS category,
-              array_to_string(list_transform(string_split(replace(l.feature, '_diff', ''), '_'),
-                              lambda w: upper(w[1]) || w[2:]), ' ') AS readable
+              {readable_sql("l.feature")} AS readable
        FROM linear l JOIN meanings m ON l.feature = m.feature""",
     MATCHUP_VIEWS,
     ["value"],
@@ -250,18 +254,36 @@ LEFT JOIN names nl ON g.predicted_loser = nl.code
 """
 
 
-def sentence_sql(text: str) -> str:
-    """The template as a concatenation."""
-    columns = {
-        "{winner}": "winner", "{loser}": "loser", "{confidence}": "pct", "{first}": "primary_phrase",
-        "{second}": "secondary_phrase", "{second_short}": "secondary_short",
-    }
+def text_sql(text: str, columns: dict[str, str]) -> str:
+    """The template as a concatenation of its pieces and columns."""
     quoted = "'" + text.replace("'", "''") + "'"
     for name, column in columns.items():
-        quoted = quoted.replace(name, f"' || {column} || '")
+        quoted = quoted.replace("{" + name + "}", f"' || {column} || '")
     return quoted
 
 
+SENTENCE_COLUMNS = {
+    "winner": "winner",
+    "loser": "loser",
+    "confidence": "pct",
+    "first": "primary_phrase",
+    "second": "secondary_phrase",
+    "second_short": "secondary_short",
+}
+
+
+def sentence_sql(text: str) -> str:
+    return text_sql(text, SENTENCE_COLUMNS)
+
+
+def number_sql(value: str, plus: str = "+") -> str:
+    return f"(CASE WHEN {value} < 0 THEN '-' ELSE '{plus}' END || printf('%.1f', round_even(abs({value}), 1)))"
+
+
+def percent_sql(share: str, digits: int = 0) -> str:
+    return f"printf('%.{digits}f%%', round_even({share} * 100, {digits}))"
+
+
 TEMPLATES = f"""
 SELECT game_id, CASE
          WHEN secondary_phrase IS NOT NULL AND confidence >= 0.65 THEN {sentence_sql(explanations.CLEAR_FAVORITE)}
@@ -292,20 +314,82 @@ def template_explanation(spark, sf_dir):
     return explained.select("game_id", "explanation")
 
 
-@query("prompt_text")
+LINES = f"""
+SELECT game_id,
+       string_agg('- ' || m.name || ' (' || {number_sql("value")} || ' pp): '
+                  || CASE WHEN value > 0 THEN m.positive ELSE m.negative END, chr(10) ORDER BY nth)
+         FILTER (WHERE nth <= 5) AS with_meanings,
+       string_agg('- ' || {readable_sql("r.feature")} || ': ' || {number_sql("value")} || ' pp ('
+                  || CASE WHEN value > 0 THEN 'favors home' ELSE 'favors away' END || ')', chr(10) ORDER BY nth)
+         FILTER (WHERE nth <= 3) AS plain,
+       string_agg('- ' || m.name || ': ' || m.description, chr(10) ORDER BY pos) FILTER (WHERE pos < 5) AS glossary,
+       string_agg('    - ' || r.feature || ': ' || {number_sql("value")} || ' pp', chr(10) ORDER BY pos) AS report_lines
+FROM ranked r JOIN meanings m ON r.feature = m.feature GROUP BY game_id
+"""
+
+RAW = "\nUNION ALL\n".join(
+    f"SELECT game_id, {i} AS pos, '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value FROM complete"
+    for i, f in enumerate(FEATURES)
+)
+
+COMPARED = f"""
+SELECT r.game_id, string_agg('- ' || {readable_sql("feature")} || ': '
+         || CASE WHEN contains(feature, 'diff') THEN {number_sql("value")} || ' ('
+                      || CASE WHEN value > 0 THEN home_team ELSE away_team END || ' advantage)'
+                 ELSE {number_sql("value", "")} END, chr(10) ORDER BY pos) AS feature_lines
+FROM raw r JOIN predicted g ON r.game_id = g.game_id GROUP BY r.game_id
+"""
+
+TEXT_CTES = {
+    **CONTRIBUTION_CTES,
+    "ranked": RANKED,
+    "predicted": PREDICTED,
+    "meanings": MEANINGS,
+    "lines": LINES,
+}
+
+MATCHUP_COLUMNS = {
+    "home_team": "home_team",
+    "away_team": "away_team",
+    "winner": "predicted_winner",
+    "confidence": percent_sql("confidence"),
+}
+
+
+@query(
+    "prompt_text",
+    f"""SELECT g.game_id, {text_sql(
+        explanations.EXPLANATION_PROMPT, {**MATCHUP_COLUMNS, "glossary": "glossary", "factors": "with_meanings"}
+    )} AS prompt FROM predicted g JOIN lines l ON g.game_id = l.game_id""",
+    MATCHUP_VIEWS,
+    ctes=TEXT_CTES,
+)
 def prompt_text(spark, sf_dir):
     rated = linear_contributions(spark, sf_dir)
     return rated.select("game_id", explanations.explanation_prompt().alias("prompt"))
 
 
-@query("comparison_text")
+@query(
+    "comparison_text",
+    f"""SELECT g.game_id, {text_sql(
+        explanations.COMPARISON_PROMPT, {**MATCHUP_COLUMNS, "features": "feature_lines"}
+    )} AS prompt FROM predicted g JOIN compared c ON g.game_id = c.game_id""",
+    MATCHUP_VIEWS,
+    ctes={**TEXT_CTES, "raw": RAW, "compared": COMPARED},
+)
 def comparison_text(spark, sf_dir):
     rated = linear_contributions(spark, sf_dir)
-    values = models.contribution_array({f: F.col(f) for f in FEATURES})
+    # Differences of sums are known to a few digits; more would show how they were added up.
+    values = models.contribution_array({f: F.round(F.col(f), 9) for f in FEATURES})
     return rated.select("game_id", explanations.comparison_prompt(values).alias("prompt"))
 
 
-@query("contribution_lines")
+@query(
+    "contribution_lines",
+    "SELECT game_id, with_meanings, plain FROM lines",
+    MATCHUP_VIEWS,
+    ctes=TEXT_CTES,
+)
 def contribution_lines(spark, sf_dir):
     rated = linear_contributions(spark, sf_dir)
     return rated.select(
@@ -315,7 +399,23 @@ def contribution_lines(spark, sf_dir):
     )
 
 
-@query("game_reports")
+REPORT_COLUMNS = {
+    **MATCHUP_COLUMNS,
+    "season": "season",
+    "confidence": percent_sql("confidence", 1),
+    "actual": "g.winner",
+    "result": "CASE WHEN predicted_winner = g.winner THEN '✓ CORRECT' ELSE '✗ INCORRECT' END",
+    "contributions": "report_lines",
+}
+
+
+@query(
+    "game_reports",
+    f"""SELECT g.game_id, {text_sql(explanations.GAME_REPORT, REPORT_COLUMNS)} AS report
+        FROM predicted g JOIN lines l ON g.game_id = l.game_id""",
+    MATCHUP_VIEWS,
+    ctes=TEXT_CTES,
+)
 def game_reports(spark, sf_dir):
     rated = linear_contributions(spark, sf_dir)
     return rated.select("game_id", explanations.game_report().alias("report"))
