@@ -231,6 +231,20 @@ def prediction_summary(predicted: DataFrame) -> DataFrame:
     )
 
 
+def prediction_rows(
+    explained: DataFrame, contributions: str = "contributions", features: Sequence[str] = MATCHUP_FEATURES
+) -> DataFrame:
+    """The layout of the predictions file: the game, its probabilities, and one
+    `contrib_<feature>` column per feature."""
+    game = [
+        "season", "home_team", "away_team", F.col("winner").alias("actual_winner"),
+        "predicted_home_prob", "predicted_away_prob", "predicted_winner",
+        (F.col("predicted_winner") == F.col("winner")).alias("correct"), "confidence",
+    ]
+    parts = [F.get(contributions, F.lit(i))["value"].alias(f"contrib_{f}") for i, f in enumerate(features)]
+    return explained.select(*game, *parts)
+
+
 # --- contributions -----------------------------------------------------------------
 
 

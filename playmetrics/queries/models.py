@@ -65,6 +65,8 @@ def linear_contributions(spark, sf_dir):
     home = F.col("implied_win_prob")
     return rated.withColumns(
         {
+            "predicted_home_prob": home,
+            "predicted_away_prob": 1 - home,
             "predicted_winner": F.when(home > 0.5, F.col("home_team")).otherwise(F.col("away_team")),
             "confidence": F.greatest(home, 1 - home),
         }
@@ -229,6 +231,44 @@ def feature_texts(spark, sf_dir):
     )
 
 
+FILE_PARTS = ", ".join(
+    f"max(l.value) FILTER (WHERE l.feature = '{f}') AS contrib_{f}" for f in FEATURES
+)
+
+
+@query(
+    "predictions_file",
+    f"""SELECT g.season, g.home_team, g.away_team, g.winner AS actual_winner,
+               g.implied_win_prob AS predicted_home_prob, 1 - g.implied_win_prob AS predicted_away_prob,
+               g.predicted_winner, g.predicted_winner = g.winner AS correct, g.confidence, p.* EXCLUDE (game_id)
+        FROM predicted g JOIN parts p ON g.game_id = p.game_id""",
+    MATCHUP_VIEWS,
+    ["predicted_home_prob", "predicted_away_prob", "confidence", *[f"contrib_{f}" for f in FEATURES]],
+    ctes={
+        **CONTRIBUTION_CTES,
+        "predicted": PREDICTED,
+        "parts": f"SELECT game_id, {FILE_PARTS} FROM linear l GROUP BY game_id",
+    },
+)
+def predictions_file(spark, sf_dir):
+    """The market's predictions with their contributions, written as CSV and read back."""
+    rows = models.prediction_rows(linear_contributions(spark, sf_dir))
+    return sinks.write_results(rows, scratch_path(spark, "predictions"), "csv")
+
+
+@query(
+    "market_summary",
+    """SELECT count(*) AS games, count(*) FILTER (WHERE predicted_winner = winner) AS correct_games,
+              avg(CAST(predicted_winner = winner AS INT)) AS accuracy FROM predicted""",
+    MATCHUP_VIEWS,
+    ["accuracy"],
+    ctes={**CONTRIBUTION_CTES, "predicted": PREDICTED},
+)
+def market_summary(spark, sf_dir):
+    rows = models.prediction_rows(linear_contributions(spark, sf_dir))
+    return models.prediction_summary(rows)
+
+
 # --- texts -------------------------------------------------------------------------
 
 NAMES = values_sql(list(TEAM_NAMES.items()), "code, full_name")

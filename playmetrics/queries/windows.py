@@ -128,14 +128,14 @@ def running_total_global(spark, sf_dir):
 
 @query(
     "running_value",
-    """SELECT event_id, user_id, ts, value, CASE WHEN value IS NOT NULL THEN sum(value) OVER (
+    """SELECT event_id, user_id, value, CASE WHEN value IS NOT NULL THEN sum(value) OVER (
               PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS value_so_far
        FROM events""",
     doubles=["value_so_far"],
 )
 def running_value(spark, sf_dir):
     events = surrogate.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return ordered.running_total(events, "value", "value_so_far", "user_id", EVENT_ORDER)
+    return ordered.running_total(events, "value", "value_so_far", "user_id", EVENT_ORDER).drop("ts")
 
 
 def rolling_sql(value: str, alias: str, rows: int, columns: str) -> str:
@@ -190,7 +190,7 @@ def rolling_yards(spark, sf_dir):
 
 @query(
     "rolling_value",
-    """SELECT event_id, user_id, ts, value,
+    """SELECT event_id, user_id, value,
               CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS rolling_value_5
        FROM events
        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
@@ -200,7 +200,7 @@ def rolling_value(spark, sf_dir):
     events = surrogate.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
     return ordered.rolling(
         events, F.col("value"), "rolling_value_5", 5, "user_id", EVENT_ORDER, min_values=3
-    )
+    ).drop("ts")
 
 
 @query(
@@ -239,12 +239,12 @@ def lag_value(spark, sf_dir):
 
 @query(
     "lead_value",
-    """SELECT event_id, user_id, ts, value,
+    """SELECT event_id, user_id, value,
               lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS "value_lag-1" FROM events""",
 )
 def lead_value(spark, sf_dir):
     events = surrogate.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return ordered.lag_value(events, "value", EVENT_ORDER, -1, "user_id")
+    return ordered.lag_value(events, "value", EVENT_ORDER, -1, "user_id").drop("ts")
 
 
 @query(
@@ -259,13 +259,13 @@ def lag_value_global(spark, sf_dir):
 
 @query(
     "delta_previous",
-    """SELECT event_id, user_id, ts, value,
+    """SELECT event_id, user_id, value,
               value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_delta FROM events""",
     doubles=["value_delta"],
 )
 def delta_previous(spark, sf_dir):
     events = surrogate.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return ordered.delta_from_previous(events, "value", EVENT_ORDER, "user_id")
+    return ordered.delta_from_previous(events, "value", EVENT_ORDER, "user_id").drop("ts")
 
 
 SEASON_ROWS = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from playmetrics.functions.codes import MATCHUP_FEATURES
 
 
 
@@ -38,5 +38,7 @@ ROSTER = """
 PREDICTIONS = """
     season int, home_team string, away_team string, actual_winner string,
     predicted_home_prob double, predicted_away_prob double, predicted_winner string,
-    correct boolean, confidence double
-"""
+    correct boolean, confidence double,
+""" + ", ".join(f"contrib_{f} double" for f in MATCHUP_FEATURES)
+
+IMPORTANCE = "feature string, importance double, importance_pct double"

@@ -4,8 +4,10 @@ import statistics
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playmetrics.plans import models as M
+from playmetrics.sources import schemas
 
 FEATURES = ["edge", "noise", "flat"]
 
@@ -139,3 +141,15 @@ def test_leave_one_out_comparison(spark, train):
     table = M.accuracy_table(spark, validated, ["Logistic Regression", "Random Forest"]).collect()
     assert [r["accuracy"] for r in table] == sorted((r["accuracy"] for r in table), reverse=True)
     assert all((r["accuracy"] * 12) == pytest.approx(round(r["accuracy"] * 12)) for r in table)
+
+
+def test_prediction_file_layout(spark, train, linear):
+    means = {f: s.mean for f, s in M.fit_scales(train, FEATURES).items()}
+    games = M.predictions(train.withColumn("season", F.lit(2001)), linear)
+    explained = M.replacement_contributions(games, linear, means, features=FEATURES)
+    got = M.prediction_rows(explained, features=FEATURES)
+    assert got.columns[-3:] == ["contrib_edge", "contrib_noise", "contrib_flat"]
+    first = explained.select("contributions").first()[0]
+    assert tuple(got.first())[-3:] == tuple(c["value"] for c in first)
+    known = T._parse_datatype_string(schemas.PREDICTIONS)
+    assert len(known) == 25 and got.columns[:9] == known.names[:9]
