@@ -31,6 +31,9 @@ from playmetrics.operators.sizing import (
     small_enough,
 )
 
+# Rows per chunk once a group is split; a window wider than that makes the chunks wider.
+CHUNK_ROWS = 50_000
+
 BLOCK, SEQ, POSITION, CHUNK = "__block", "__seq", "__position", "__chunk"
 
 Order = Sequence[str | Column]
@@ -125,9 +128,12 @@ def with_windows(
 ) -> DataFrame:
     """Add window measures whose frames reach `before` rows back and `after` rows ahead.
 
-    Each measure gets the ordered window of its group and returns a column over it.
+    Each measure gets the ordered window of its group and returns a column over it. A frame
+    is worked through anew for each row, so wide frames lower the size at which groups split.
     """
     keys = names(partition_by)
+    reach = before + after
+    group_limit = max(group_limit // max(reach // 10, 1), 1)
 
     def over(part: DataFrame, spec: WindowSpec) -> DataFrame:
         return part.withColumns({a: measure(spec) for a, measure in measures.items()})
@@ -136,7 +142,7 @@ def with_windows(
         return over(part, W.partitionBy(*keys).orderBy(*order_by))
 
     def split(part: DataFrame, rows: int) -> DataFrame:
-        size = max(group_limit, before + after, 1)
+        size = max(min(group_limit, CHUNK_ROWS), reach)
         home = F.floor((F.col(POSITION) - 1) / size)
         inside = F.pmod(F.col(POSITION) - 1, F.lit(size))
         seen_by = F.array(

@@ -128,14 +128,18 @@ def running_total_global(spark, sf_dir):
 
 @query(
     "running_value",
-    """SELECT event_id, user_id, value, CASE WHEN value IS NOT NULL THEN sum(value) OVER (
-              PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS value_so_far
+    """SELECT event_id, user_id, value, CAST(CASE WHEN value IS NOT NULL THEN
+              sum(CAST(value AS DECIMAL(18, 2))) OVER (
+                PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS DOUBLE) AS value_so_far
        FROM events""",
-    doubles=["value_so_far"],
 )
 def running_value(spark, sf_dir):
-    events = surrogate.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return ordered.running_total(events, "value", "value_so_far", "user_id", EVENT_ORDER).drop("ts")
+    """Running sum per user, in decimals: it comes out the same in whatever order it is added up."""
+    events = surrogate.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", "value", F.col("value").cast("decimal(18, 2)").alias("exact")
+    )
+    summed = ordered.running_total(events, "exact", "value_so_far", "user_id", EVENT_ORDER)
+    return summed.withColumn("value_so_far", F.col("value_so_far").cast("double")).drop("ts", "exact")
 
 
 def rolling_sql(value: str, alias: str, rows: int, columns: str) -> str:
