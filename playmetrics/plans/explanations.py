@@ -324,14 +324,16 @@ def prediction_report(predicted: DataFrame, importances: DataFrame, model: str)
         "correct": F.col("right").cast("string"),
         "games": F.col("games").cast("string"),
     }
-    # One entry per feature.
-    entries = importances.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("key"), "feature", "importance_pct"))).alias("e")
-    )
-    line = F.transform("e", lambda e: F.concat(F.lit("  "), e["feature"], F.lit(": "), one_decimal(e["importance_pct"]), F.lit("%")))
+    # One entry per feature, the most important first.
+    entry = F.struct((-F.col("importance")).alias("key"), "feature", "importance_pct")
+    entries = importances.agg(F.array_sort(F.collect_list(entry)).alias("e"))
+
+    def line(e: Column) -> Column:
+        return F.concat(F.lit("  "), e["feature"], F.lit(": "), one_decimal(e["importance_pct"]), F.lit("%"))
+
     parts = [
         part(summary, 1, fill_in(REPORT_HEAD, head)),
-        part(entries, 2, fill_in(REPORT_IMPORTANCE, {"lines": F.array_join(line, "\n")})),
+        part(entries, 2, fill_in(REPORT_IMPORTANCE, {"lines": F.array_join(F.transform("e", line), "\n")})),
         part(predicted.sparkSession.range(1), 3, F.lit(REPORT_GAMES)),
         part(
             predicted,

@@ -66,6 +66,14 @@ def team_profiles(
     return seasons.join(ranks, ["posteam", "season"], "left")
 
 
+def coming_profiles(plays: DataFrame, roster_ratings: DataFrame, season: int) -> DataFrame:
+    """Profiles for games still to come: the teams' season so far with the ratings of their
+    current rosters (`team`, `qb_ovr`, `avg_ovr`, `max_ovr`)."""
+    seasons = team_season_profiles(plays.filter(F.col("season") == season))
+    ranks = roster_ratings.withColumnsRenamed({"team": "posteam", "avg_ovr": "avg_starter_ovr"})
+    return seasons.join(ranks, "posteam", "left")
+
+
 def difference(column: str) -> Column:
     home, away = F.col(f"home_{column}"), F.col(f"away_{column}")
     if column in MISSING:

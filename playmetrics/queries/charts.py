@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from playmetrics.functions.scalars import game_outcomes
 from playmetrics.operators import chartdata, ordered
 from playmetrics.operators.sizing import settle

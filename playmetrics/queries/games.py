@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playmetrics.functions import scalars as S
-from playmetrics.plans import matchups
+from playmetrics.plans import matchups, players
 from playmetrics.queries.base import query
 from playmetrics.queries.seasons import DEFENSE, MATRIX, OFFENSE, PLAYOFFS
 from playmetrics.sources import surrogate, tables
@@ -233,3 +233,28 @@ def team_profiles(spark, sf_dir):
 def matchup_features(spark, sf_dir):
     columns = ["game_id", "season", "home_team", "away_team", "winner", *FEATURES, "home_win"]
     return final_matchups(spark, sf_dir).select(*columns)
+
+
+COMING_SEASON = 2001
+
+
+@query(
+    "coming_matchups",
+    f"SELECT * EXCLUDE (winner, home_win) FROM matchups WHERE season = {COMING_SEASON}",
+    MATCHUP_VIEWS,
+    MATCHUP_DOUBLES,
+    ctes={
+        **MATCHUP_CTES,
+        "rating_features": f"""SELECT team, {COMING_SEASON} AS season, avg(overall) AS avg_starter_ovr,
+                                      max(overall) AS max_ovr, min(overall) AS min_ovr,
+                                      max(overall) FILTER (WHERE position = 'QB') AS qb_ovr
+                               FROM ratings GROUP BY team""",
+    },
+)
+def coming_matchups(spark, sf_dir):
+    """One season's final games as they look before kick-off, rated by the whole rosters."""
+    games = tables.final_games(surrogate.games(spark, sf_dir)).filter(F.col("season") == COMING_SEASON)
+    rosters = players.team_roster_ratings(surrogate.ratings(spark, sf_dir), "position", "overall")
+    profiles = matchups.coming_profiles(surrogate.plays(spark, sf_dir), rosters, COMING_SEASON)
+    columns = ["game_id", "season", "home_team", "away_team", *FEATURES]
+    return matchups.matchup_features(games, profiles).select(*columns)

@@ -8,7 +8,8 @@ from playmetrics.operators import chartdata as C
 
 @pytest.fixture(scope="module")
 def points(spark):
-    rows = [("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 4.0), ("a", 4, None), ("b", 1, 5.0), ("b", 2, 7.0), ("c", 2, 1.0), ("c", 2, 2.0), ("c", 2, 3.0)]
+    rows = [("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 4.0), ("a", 4, None), ("b", 1, 5.0), ("b", 2, 7.0)]
+    rows += [("c", 2, 1.0), ("c", 2, 2.0), ("c", 2, 3.0)]
     return spark.createDataFrame(rows, "g string, x int, y double")
 
 

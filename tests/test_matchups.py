@@ -64,7 +64,11 @@ def test_scoring_uses_the_same_features_without_a_winner(spark, profiles):
 
 def test_decided_finals(spark):
     games = spark.createDataFrame(
-        [(2001, 1, "A", "B", 7, 3, 1.0, 40.0, "SB"), (2002, 2, "A", "B", 7, 7, 1.0, 40.0, "SB"), (2001, 3, "A", "B", 1, 2, 1.0, 4.0, "REG")],
+        [
+            (2001, 1, "A", "B", 7, 3, 1.0, 40.0, "SB"),
+            (2002, 2, "A", "B", 7, 7, 1.0, 40.0, "SB"),
+            (2001, 3, "A", "B", 1, 2, 1.0, 4.0, "REG"),
+        ],
         GAME + ", game_type string",
     )
     got = matchups.decided_finals(games).orderBy("game_id").collect()

@@ -24,7 +24,10 @@ def rows(n=60):
 
 @pytest.fixture(scope="module")
 def train(spark):
-    columns = "game_id long, home_team string, away_team string, winner string, home_win double, edge double, noise double, flat double"
+    columns = (
+        "game_id long, home_team string, away_team string, winner string, home_win double, "
+        "edge double, noise double, flat double"
+    )
     return spark.createDataFrame(rows(), columns).repartition(1).cache()
 
 
