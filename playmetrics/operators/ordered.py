@@ -31,6 +31,9 @@ from playmetrics.operators.sizing import (
     small_enough,
 )
 
+# A block is worth a task of its own from here on.
+BLOCK_ROWS = 5_000
+
 # Rows per chunk once a group is split; a window wider than that makes the chunks wider.
 CHUNK_ROWS = 50_000
 
@@ -71,8 +74,8 @@ def by_group_size(
 
 def blocks(df: DataFrame, keys: Sequence[str], order_by: Order, rows: int, group_limit: int) -> DataFrame:
     """Range-partition on (keys, order) and number partitions and the rows inside them."""
-    shuffle_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(shuffle_partitions, rows // group_limit + 1)
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(min(parallel, rows // BLOCK_ROWS + 1), rows // group_limit + 1)
     sort = [*keys, *order_by]
     numbered = (
         df.repartitionByRange(n, *sort)
