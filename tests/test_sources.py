@@ -118,6 +118,7 @@ class Session:
     def __init__(self, master, setting=None):
         self.master, self.setting, self.folder = master, setting, None
         self.conf = self.sparkContext = self
+        self.applicationId = "app-1"
 
     def get(self, key, default):
         assert key == "spark.checkpoint.dir"
@@ -133,7 +134,7 @@ class Session:
 def test_shared_folder_comes_from_the_session():
     cluster = Session("yarn", "hdfs:///shared")
     assert sizing.shared_folder(cluster) == "hdfs:///shared" == cluster.folder
-    assert sizing.scratch_path(cluster, "x").startswith("hdfs:///shared/x-")
+    assert sizing.scratch_path(cluster, "x").startswith("hdfs:///shared/app-1/x-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sizing.shared_folder(Session("yarn"))
     local = Session("local[4]")
@@ -154,3 +155,28 @@ def test_full_table_stands_in_for_a_missing_one(spark, plays, tmp_path):
     assert tables.load_plays(spark, slim, full_path=full).count() == 1
     with pytest.raises(AnalysisException):
         tables.load_plays(spark, str(tmp_path / "none"))
+
+
+def test_a_large_season_is_written_by_many_tasks(spark, tmp_path):
+    """Rebalancing splits the season that holds most rows and leaves the others few files."""
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    df = spark.range(0, 300_000, 1, 12).select(
+        F.when(F.col("id") % 3 > 0, 2000).otherwise(2001 + F.col("id") % 10).cast("int").alias("season"),
+        F.xxhash64("id").alias("noise"),
+    )
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sinks.write_seasons(df, str(tmp_path / "plays"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "plays").glob("season=*")}
+    assert files["season=2000"] > 4
+    # Without rebalancing each of the twelve tasks would write a file per season.
+    assert all(n < 12 for name, n in files.items() if name != "season=2000")
+    assert got.count() == 300_000
