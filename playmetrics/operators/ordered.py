@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from playmetrics.operators.sizing import (
     GROUP_ROWS,
+    attach,
     group_rows,
     large_groups,
     same_keys,
@@ -111,12 +112,22 @@ def add_earlier(blocked: DataFrame, keys: Sequence[str], totals: dict[str, Colum
 def with_positions(
     df: DataFrame, keys: Sequence[str], order_by: Order, rows: int, group_limit: int
 ) -> DataFrame:
-    """Add the 1-based position in the group, without holding a group in one task."""
+    """Add the 1-based position in the group, without holding a group in one task.
+
+    A group's rows follow each other in its blocks. So a position is the row's distance from
+    the group's first row in the block, plus the group's rows in earlier blocks: two figures
+    per group and block, joined on. The rows are not shuffled again.
+    """
     blocked = blocks(df, keys, order_by, rows, group_limit)
-    inside = F.row_number().over(W.partitionBy(*keys, BLOCK).orderBy(SEQ))
-    placed = add_earlier(blocked, keys, {"__earlier": F.count(F.lit(1))})
-    position = inside + F.coalesce(F.col("__earlier"), F.lit(0))
-    return placed.withColumn(POSITION, position).drop("__earlier", SEQ, BLOCK)
+    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        blocked.groupBy(*keys, BLOCK)
+        .agg(F.min(SEQ).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+        .withColumn("__earlier", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    )
+    placed = attach(blocked, starts.drop("__rows"), [*keys, BLOCK])
+    position = F.col("__earlier") + F.col(SEQ) - F.col("__first") + 1
+    return placed.withColumn(POSITION, position).drop("__earlier", "__first", SEQ, BLOCK)
 
 
 def with_windows(
