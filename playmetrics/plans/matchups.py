@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.functions.scalars import fill, game_winner, spread_to_win_prob
+from playmetrics.functions.scalars import (
+    adjusted_temp,
+    adjusted_wind,
+    categorize_environment,
+    classify_ats_result,
+    cover_margin,
+    fill,
+    game_winner,
+    spread_to_win_prob,
+    total_result,
+    weather_impact_score,
+)
 from playmetrics.operators.relational import prefix_columns
 from playmetrics.operators.sizing import attach, settle
 from playmetrics.plans.players import rating_features
@@ -40,6 +51,33 @@ DIFFERENCES = {
 }
 
 
+def clean_weather(games: DataFrame) -> DataFrame:
+    """Add the environment, the temperature and wind as felt, and the weather's impact.
+
+    Only a dome counts as climate-controlled: a closed roof is indoors but keeps its weather.
+    """
+    return games.withColumns(
+        {
+            "environment": categorize_environment("roof"),
+            "temp_adjusted": adjusted_temp(),
+            "wind_adjusted": adjusted_wind(),
+            "weather_impact_score": weather_impact_score(),
+        }
+    )
+
+
+def betting_results(games: DataFrame) -> DataFrame:
+    """Add the cover margin and the results against the spread and the total."""
+    margin = cover_margin("home_score", "away_score", "spread_line")
+    return games.withColumns(
+        {
+            "cover_margin": margin,
+            "ats_result": classify_ats_result(margin),
+            "total_result": total_result("home_score", "away_score", "total_line"),
+        }
+    )
+
+
 def winners(games: DataFrame) -> DataFrame:
     return games.withColumn("winner", game_winner())
 

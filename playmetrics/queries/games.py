@@ -25,14 +25,7 @@ from playmetrics.sources import surrogate, tables
     ["weather_impact_score"],
 )
 def weather(spark, sf_dir):
-    return surrogate.games(spark, sf_dir).withColumns(
-        {
-            "environment": S.categorize_environment("roof"),
-            "temp_adjusted": S.adjusted_temp(),
-            "wind_adjusted": S.adjusted_wind(),
-            "weather_impact_score": S.weather_impact_score(),
-        }
-    )
+    return matchups.clean_weather(surrogate.games(spark, sf_dir))
 
 
 @query(
@@ -44,11 +37,8 @@ def weather(spark, sf_dir):
     ["games"],
 )
 def ats_results(spark, sf_dir):
-    games = surrogate.games(spark, sf_dir).select("game_id", "home_score", "away_score", "spread_line")
-    margin = S.cover_margin("home_score", "away_score", "spread_line")
-    return games.withColumn("cover_margin", margin).withColumn(
-        "ats_result", S.classify_ats_result("cover_margin")
-    )
+    columns = ["game_id", "home_score", "away_score", "spread_line", "cover_margin", "ats_result"]
+    return matchups.betting_results(surrogate.games(spark, sf_dir)).select(*columns)
 
 
 @query(
@@ -60,8 +50,8 @@ def ats_results(spark, sf_dir):
     ["games"],
 )
 def total_results(spark, sf_dir):
-    games = surrogate.games(spark, sf_dir).select("game_id", "home_score", "away_score", "total_line")
-    return games.withColumn("total_result", S.total_result("home_score", "away_score", "total_line"))
+    columns = ["game_id", "home_score", "away_score", "total_line", "total_result"]
+    return matchups.betting_results(surrogate.games(spark, sf_dir)).select(*columns)
 
 
 @query(
