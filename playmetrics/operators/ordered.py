@@ -130,9 +130,9 @@ def with_positions(
     return placed.withColumn(POSITION, position).drop("__earlier", "__first", SEQ, BLOCK)
 
 
-def with_windows(
+def with_frames(
     df: DataFrame,
-    measures: dict[str, Callable[[WindowSpec], Column]],
+    add: Callable[[DataFrame, list[str], Order], DataFrame],
     partition_by: str | Sequence[str] | None,
     order_by: Order,
     *,
@@ -140,20 +140,15 @@ def with_windows(
     after: int = 0,
     group_limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Add window measures whose frames reach `before` rows back and `after` rows ahead.
+    """Add columns that depend on up to `before` rows back and `after` rows ahead.
 
-    Each measure gets the ordered window of its group and returns a column over it. A frame
-    is worked through anew for each row, so wide frames lower the size at which groups split.
+    `add` gets rows, the columns of their window partition, and the order in it.
     """
     keys = names(partition_by)
     reach = before + after
-    group_limit = max(group_limit // max(reach // 10, 1), 1)
-
-    def over(part: DataFrame, spec: WindowSpec) -> DataFrame:
-        return part.withColumns({a: measure(spec) for a, measure in measures.items()})
 
     def plain(part: DataFrame) -> DataFrame:
-        return over(part, W.partitionBy(*keys).orderBy(*order_by))
+        return add(part, keys, order_by)
 
     def split(part: DataFrame, rows: int) -> DataFrame:
         size = max(min(group_limit, CHUNK_ROWS), reach)
@@ -166,12 +161,38 @@ def with_windows(
         )
         placed = with_positions(part, keys, order_by, rows, group_limit)
         spread = placed.withColumn(CHUNK, F.explode(F.array_compact(seen_by)))
-        measured = over(spread, W.partitionBy(*keys, CHUNK).orderBy(POSITION))
+        measured = add(spread, [*keys, CHUNK], [POSITION])
         return measured.filter(F.col(CHUNK) == home).drop(CHUNK, POSITION)
 
     return by_group_size(df, keys, group_limit, plain, split)
 
 
+def with_windows(
+    df: DataFrame,
+    measures: dict[str, Callable[[WindowSpec], Column]],
+    partition_by: str | Sequence[str] | None,
+    order_by: Order,
+    *,
+    before: int = 0,
+    after: int = 0,
+    group_limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Add window measures; each gets the ordered window of its group and returns a column.
+
+    A frame is worked through anew for each row, so wide frames lower the size at which
+    groups split.
+    """
+
+    def add(part: DataFrame, partition: list[str], order: Order) -> DataFrame:
+        spec = W.partitionBy(*partition).orderBy(*order)
+        return part.withColumns({a: measure(spec) for a, measure in measures.items()})
+
+    limit = max(group_limit // max((before + after) // 10, 1), 1)
+    return with_frames(
+        df, add, partition_by, order_by, before=before, after=after, group_limit=limit
+    )
+
+
 def running_total(
     df: DataFrame,
     value: str,
@@ -216,20 +237,6 @@ def rolling_mean(value: Column, rows: int, spec: WindowSpec, min_values: int = 1
     return F.when(F.count(value).over(frame) >= min_values, F.avg(value).over(frame))
 
 
-def rolling_corr(x: Column, y: Column, rows: int, spec: WindowSpec, min_pairs: int = 20) -> Column:
-    """Correlation over the complete pairs of the last `rows` rows; NULL if a side is constant."""
-    frame = spec.rowsBetween(-(rows - 1), 0)
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    usable = (
-        (F.count(x).over(frame) >= min_pairs)
-        & (F.min(x).over(frame) < F.max(x).over(frame))
-        & (F.min(y).over(frame) < F.max(y).over(frame))
-    )
-    spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    return F.when(usable, F.try_divide(F.covar_samp(x, y).over(frame), spread))
-
-
 def rolling(
     df: DataFrame,
     value: Column,
@@ -272,16 +279,94 @@ def rolling_yards_per_play(df, partition_by, order_by, window_size: int = 50, **
     return rolling(df, F.col("yards_gained"), alias, window_size, partition_by, order_by, **options)
 
 
+# --- rolling correlation -----------------------------------------------------------
+
+# Figures of some pairs from which those of their union follow.
+PAIRS = ["n", "mean_x", "mean_y", "xx", "yy", "xy", "min_x", "max_x", "min_y", "max_y"]
+
+
+def pair_figures(x: Column, y: Column, frame: WindowSpec) -> Column:
+    """Count, means, sums of squared and mixed deviations, and ranges of the pairs in a frame."""
+    n = F.count(x).over(frame)
+    figures = [
+        n,
+        F.avg(x).over(frame),
+        F.avg(y).over(frame),
+        F.var_pop(x).over(frame) * n,
+        F.var_pop(y).over(frame) * n,
+        F.covar_pop(x, y).over(frame) * n,
+        F.min(x).over(frame),
+        F.max(x).over(frame),
+        F.min(y).over(frame),
+        F.max(y).over(frame),
+    ]
+    return F.struct(*[f.alias(name) for name, f in zip(PAIRS, figures, strict=True)])
+
+
+def joint_correlation(a: Column, b: Column, min_pairs: int) -> Column:
+    """Correlation over two sets of pairs; NULL for too few pairs or a constant side."""
+
+    def added(name: str) -> Column:
+        return F.coalesce(a[name], F.lit(0)) + F.coalesce(b[name], F.lit(0))
+
+    def between(p: str, q: str) -> Column:
+        """What the distance of the two means adds to a sum of products."""
+        gap = (a[f"mean_{p}"] - b[f"mean_{p}"]) * (a[f"mean_{q}"] - b[f"mean_{q}"])
+        return F.coalesce(gap * F.try_divide(a["n"] * b["n"], added("n")), F.lit(0.0))
+
+    def varies(p: str) -> Column:
+        return F.least(a[f"min_{p}"], b[f"min_{p}"]) < F.greatest(a[f"max_{p}"], b[f"max_{p}"])
+
+    xx, yy, xy = (added(p + q) + between(p, q) for p, q in ("xx", "yy", "xy"))
+    usable = (added("n") >= min_pairs) & varies("x") & varies("y")
+    return F.when(usable, F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))
+
+
+def rolling_correlation(
+    df: DataFrame,
+    x: Column,
+    y: Column,
+    alias: str,
+    window_size: int,
+    partition_by: str | Sequence[str] | None,
+    order_by: Order,
+    min_pairs: int = 20,
+    **options,
+) -> DataFrame:
+    """Correlation over the complete pairs of the last `window_size` rows.
+
+    Rows are cut into runs of the window's length. A window is the end of one run and the
+    start of the next, and figures of starts and ends take one step per row, so the cost does
+    not grow with the window.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    made = ["__x", "__y", "__nth", "__run", "__end", "__start", "__before"]
+
+    def add(part: DataFrame, partition: list[str], order: Order) -> DataFrame:
+        nth = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
+        run = W.partitionBy(*partition, "__run")
+        ends = run.orderBy(F.col("__nth").desc()).rowsBetween(W.unboundedPreceding, 0)
+        starts = run.orderBy("__nth").rowsBetween(W.unboundedPreceding, 0)
+        whole = W.partitionBy(*partition).orderBy("__run", "__nth")
+        pairs = F.col("__x"), F.col("__y")
+        rows = part.withColumns({"__x": x, "__y": y, "__nth": nth})
+        rows = rows.withColumn("__run", F.floor((F.col("__nth") - 1) / window_size))
+        rows = rows.withColumn("__end", pair_figures(*pairs, ends))
+        # A window that is a whole run has no part in an earlier one.
+        earlier = F.when(F.pmod("__nth", F.lit(window_size)) > 0, F.lag("__end", window_size - 1).over(whole))
+        rows = rows.withColumns({"__start": pair_figures(*pairs, starts), "__before": earlier})
+        result = joint_correlation(F.col("__start"), F.col("__before"), min_pairs)
+        return rows.withColumn(alias, result).drop(*made)
+
+    return with_frames(df, add, partition_by, order_by, before=window_size - 1, **options)
+
+
 def pass_rate_wp_correlation(df, partition_by, order_by, window_size: int = 100, **options) -> DataFrame:
     """Rolling correlation of passing (0/1) with win probability, from 20 pairs on."""
     passing = (F.col("play_type") == "pass").cast("double")
-    return with_windows(
-        df,
-        {"pass_wp_correlation": lambda spec: rolling_corr(passing, F.col("wp"), window_size, spec)},
-        partition_by,
-        order_by,
-        before=window_size - 1,
-        **options,
+    return rolling_correlation(
+        df, passing, F.col("wp"), "pass_wp_correlation", window_size, partition_by, order_by, **options
     )
 
 
