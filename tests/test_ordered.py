@@ -223,3 +223,28 @@ def test_empty_input(spark):
         assert O.rolling_epa(empty, "team", ["nth"], group_limit=limit).count() == 0
         assert O.cumulative_epa(empty, ["nth"], group_limit=limit).count() == 0
         assert O.rank_within_group(empty, "epa", "team", ["nth"], group_limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("window", [20, 100, 1000])
+def test_rolling_correlation_far_from_zero(spark, window):
+    """Large offsets, a jump and a NaN: only windows that hold the NaN may lose their figure."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        level = 1e9 if i < 150 else 0.0
+        rows.append((i, level + rng.random(), level + rng.random()))
+    rows[200] = (200, math.nan, 0.5)
+    df = spark.createDataFrame(rows, "nth long, x double, y double")
+    got = O.rolling_correlation(
+        df.withColumn("g", F.lit(1)), F.col("x"), F.col("y"), "c", window, "g", ["nth"], min_pairs=20
+    )
+    values = {r["nth"]: r["c"] for r in got.collect()}
+    for i in range(300):
+        held = rows[max(0, i - window + 1) : i + 1]
+        if any(math.isnan(x) for _, x, _ in held):
+            assert values[i] is None or math.isnan(values[i])
+        elif len(held) < 20:
+            assert values[i] is None
+        else:
+            expected = pearson([(x, y) for _, x, y in held])
+            assert values[i] == pytest.approx(expected, abs=1e-6)
