@@ -269,3 +269,21 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> D
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", lettered.alias("lettered"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The rows of `docs` whose text has a language that takes at least the share `least` of its
+    positions, with the columns they came with. When nothing was learned all lettered texts stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            if known.languages and batch.num_rows:
+                share = distributions(known, batch.column(place), settings)
+                batch = batch.filter(pa.array(share.max(1) >= least))
+            yield batch
+
+    return docs.filter(lettered).mapInArrow(run, docs.schema)
