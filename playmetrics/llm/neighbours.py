@@ -155,7 +155,7 @@ def hashed(rows: DataFrame, longest: float, count: int, settings: Settings, prob
                     columns = [part.column(0).take(taken), part.column(1).take(taken), pa.array(pairs[:, 1])]
                     yield pa.RecordBatch.from_arrays(columns, ["cid", "v", "key"])
 
-    return rows.select("cid", "v").mapInArrow(run, rows.select("cid", "v").schema.add("key", "long"))
+    return rows.select("cid", "v").mapInArrow(run, "cid long, v array<double>, key long")
 
 
 def nearest_in(data: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

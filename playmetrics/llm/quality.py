@@ -125,4 +125,5 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that pass, with the columns they came with."""
-    return judge(docs, text, rules).filter("kept").select("__row.*")
+    # Not a filter: that would be pushed below the projections, with every measure written out anew.
+    return judge(docs, text, rules).select(F.inline(F.when(F.col("kept"), F.array("__row"))))

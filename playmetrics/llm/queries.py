@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-                list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+                [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
             FROM documents
         ), positions AS (
             SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
@@ -125,10 +125,10 @@ SQL: dict[str, str] = {
             SELECT doc_id, CAST(sum(least(5, i - before)) AS BIGINT) AS n FROM spread GROUP BY doc_id
         ), counts AS (
             SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-                CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
-                len(list_filter(w, x -> lower(x) IN ({_STOP_LIST}))) AS n_stop_words,
+                len([x for x in w if lower(x) IN ({_STOP_LIST})]) AS n_stop_words,
                 coalesce(r.n, 0) AS n_repeat_words
             FROM d LEFT JOIN repeats r USING (doc_id)
         ), base AS (

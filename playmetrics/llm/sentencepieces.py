@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from playmetrics.operators.sizing import settle_table
 
@@ -437,4 +438,5 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(sums, pa.int64())], [*names, "decoded", "ids_crc32"])
 
     kept = rows.select(*names)
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string").add("ids_crc32", "long"))
+    shape = StructType([*kept.schema.fields, StructField("decoded", StringType()), StructField("ids_crc32", LongType())])
+    return kept.mapInArrow(run, shape)
