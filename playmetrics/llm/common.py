@@ -25,6 +25,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def about(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, chosen by a hash of `key`: each task drops the others by itself."""
+    if total <= rows:
+        return df
+    kept = max(1, rows * (1 << 30) // total)
+    return df.filter(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) < kept)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit."""
     x = x.astype(np.uint64, copy=True)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playmetrics.llm.common import mix, sorted_groups
+from playmetrics.llm.common import about, mix, sorted_groups
 from playmetrics.operators.sizing import settle_table
 
 
@@ -241,7 +241,8 @@ def search(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     size = classes.agg(F.max(norm).alias("longest"), F.count(F.lit(1)).alias("n")).first()
     longest, total = size["longest"] or 1.0, size["n"]
-    sample = classes.select("v", F.size("v").alias("d")).orderBy(F.xxhash64("cid")).limit(settings.sample).collect()
+    some = about(classes, "cid", settings.sample, total).select("cid", "v", F.size("v").alias("d"))
+    sample = some.orderBy(F.xxhash64("cid")).limit(settings.sample).collect()
     widths = [r["d"] for r in sample]
     usual = max(set(widths), key=widths.count) if widths else 1
     count = tuned(np.array([r["v"] for r in sample if r["d"] == usual] or [[1.0]]), longest, k, settings)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.llm.common import held_out, mix, spans, text_bytes, word_bounds, word_hashes
+from playmetrics.llm.common import about, held_out, mix, spans, text_bytes, word_bounds, word_hashes
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    chosen = known.orderBy(*order).limit(settings.sample)
+    chosen = about(known, "doc_id", settings.sample, known.count()).orderBy(*order).limit(settings.sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.orderBy(*order, F.xxhash64("text")).limit(settings.sample)
 
