@@ -9,10 +9,12 @@ are numbered per length and looked up in the plan by Spark.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,73 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+class Recent(dict):
+    """A store of at most twice `most` entries: when it is full, entries used since the last time
+    stay reachable, the others go."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.older = most, {}
+
+    def find(self, key: str) -> bytes | None:
+        found = self.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+# Words of these characters hold no white space, combining mark, apostrophe or letter of two small
+# letters; the tokenizer takes their runs of letters, digits and runs of signs apart.
+PLAIN = re.compile(r"(?:[!-&(-~]|[\u00C0-\u012F\u0131-\u017F])+")
+RUNS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+# Byte-level vocabularies write bytes as visible characters: visible ones as themselves, the others
+# as those from U+0100 on in their order.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+SHOWN = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
+
 class WordIds(dict):
     """Ids of a blank-separated word as little-endian bytes. The tokenizer drops white space and
-    looks at no word's neighbours, so words can be kept; the store is emptied when it is full."""
+    looks at no word's neighbours, and within a word each run is looked up on its own in small
+    letters: runs are kept, and words of plain characters are put together from them."""
 
-    def __init__(self, path: str, words: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), words, Recent(words)
+        self.model = self.tokenizer.model
+
+    def run(self, text: str) -> bytes:
+        found = self.runs.find(text)
+        if found is None:
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(SHOWN)
+            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.runs.keep(text, found)
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.words:
-                self.clear()
-            self[word] = found
+        if len(word) > 64 or not PLAIN.fullmatch(word) or "<|" in word:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        small = word.lower()
+        found = self.run(small) if small.isalpha() else b"".join(map(self.run, RUNS.findall(small)))
+        if len(self) >= self.words:
+            self.clear()
+        self[word] = found
         return found
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One store for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most `capacity` tokens of every document: its ids, then the end id.
 
@@ -54,8 +104,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = WordIds(vocabulary)
-        get = store.__getitem__
+        get = word_ids(vocabulary).__getitem__
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
