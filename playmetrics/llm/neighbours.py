@@ -200,21 +200,36 @@ def searched(data: DataFrame, asked: DataFrame, k: int, settings: Settings) -> D
                 x, q = matrix(table.column(4).slice(begin, turn - begin)), matrix(table.column(4).slice(turn, end - turn))
                 for name, got in zip(cid[turn:end], nearest_in(x, cid[begin:turn], q, k), strict=True):
                     best.setdefault(int(name), []).append(got)
-            names, ids, scores = [], [], []
-            for name, got in best.items():  # a query of several buckets here keeps its k best
-                found, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
-                score = np.concatenate([g[1] for g in got])[at]
-                order = np.lexsort((found, -score))[:k]
-                names.append(np.full(len(order), name))
-                ids.append(found[order])
-                scores.append(score[order])
-            if names:
-                columns = [pa.array(np.concatenate(c)) for c in (names, ids, scores)]
-                yield pa.RecordBatch.from_arrays(columns, ["q", "cid", "score"])
-
-    found = both.mapInArrow(run, "q long, cid long, score double").dropDuplicates(["q", "cid"])
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
-    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r")
+            yield from listed(best, k)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, 1):
+            best: dict[int, list] = {}
+            for q, cids, scores in zip(*table.columns, strict=True):
+                best.setdefault(q.as_py(), []).append((np.array(cids.values), np.array(scores.values)))
+            yield from listed(best, k)
+
+    found = both.mapInArrow(run, FOUND).repartition("q").sortWithinPartitions("q").mapInArrow(merge, FOUND)
+    pairs = found.select("q", F.explode(F.arrays_zip("cids", "scores")).alias("p"))
+    return pairs.select("q", F.col("p.cids").alias("cid"), F.col("p.scores").alias("score"))
+
+
+FOUND = "q long, cids array<long>, scores array<double>"
+
+
+def listed(best: dict[int, list], k: int) -> Iterator[pa.RecordBatch]:
+    """One row per query: its k best of all lists found for it, each candidate once."""
+    names, ids, scores = [], [], []
+    for name, got in best.items():
+        found, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
+        score = np.concatenate([g[1] for g in got])[at]
+        order = np.lexsort((found, -score))[:k]
+        names.append(name)
+        ids.append(found[order])
+        scores.append(score[order])
+    if names:
+        columns = [pa.array(names), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["q", "cids", "scores"])
 
 
 def search(
