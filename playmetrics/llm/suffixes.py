@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.llm.common import MULTIPLIER, NO_ID, mix, sorted_groups, spans, text_bytes
+from playmetrics.llm.common import MULTIPLIER, NO_ID, about, mix, sorted_groups, spans, text_bytes
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 32
@@ -355,9 +355,9 @@ def seen_twice(base: DataFrame) -> DataFrame:
     return rows.mapInArrow(twice, "bucket int, packed long")
 
 
-def borders(base: DataFrame, ranges: int, sample: int = 2000) -> list[bytes]:
-    """Where ranges of suffixes begin, from those of at most `sample` texts. They only decide how
-    evenly the work is dealt."""
+def borders(base: DataFrame, ranges: int, total: int, sample: int = 2000) -> list[bytes]:
+    """Where ranges of suffixes begin, from those of about `sample` of `total` texts. They only
+    decide how evenly the work is dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[bytes] = []
@@ -371,7 +371,7 @@ def borders(base: DataFrame, ranges: int, sample: int = 2000) -> list[bytes]:
         chosen = sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
         yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.binary())], ["border"])
 
-    some = base.orderBy(F.xxhash64("doc"), "doc").limit(sample).select("text")
+    some = about(base, "doc", sample, total).select("text").repartition(1)
     return sorted(bytes(r["border"]) for r in some.mapInArrow(run, "border binary").collect())
 
 
@@ -490,11 +490,11 @@ def deduplicate(
     smaller bytes comes first. Texts of fewer than 100 bytes lose nothing.
     """
     carry = carry or []
-    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-    buckets = int(min(max(-(-size // bucket_bytes), 8), (1 << BUCKET_BITS) - 1))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = int(min(max(-(-(size["bytes"] or 0) // bucket_bytes), 8), (1 << BUCKET_BITS) - 1))
     base = base_of(docs, buckets, carry)
     dealt = base.repartition("bucket")
-    parcels = runs_of(dealt, seen_twice(base), borders(base, buckets))
+    parcels = runs_of(dealt, seen_twice(base), borders(base, buckets, size["rows"]))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])]
     types = [pa.int64()] * 4 + [pa.string(), pa.string() if kept == "string" else pa.binary()]
     more = dealt.schema.fields[3:]
