@@ -38,7 +38,7 @@ class Words(dict):
     """Ids, as little-endian bytes, of the words met so far (their space sign left out): no neighbour
     can change them. Emptied when it is full."""
 
-    def __init__(self, pieces: Pieces, most: int = 400_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = 250_000) -> None:
         self.pieces, self.most = pieces, most
 
     def __missing__(self, word: str) -> bytes:
@@ -85,7 +85,7 @@ class Pieces:
         if found is None:
             fits = self.merged(before + piece) == ([before, piece] if before else [piece])
             found = 0.0 if fits else LOW
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             self.pairs[before, piece] = found
         return found
@@ -189,7 +189,7 @@ def encode_whole(pieces: Pieces, text: str) -> np.ndarray:
 
 def first_cut(text: str, begin: int, end: int) -> int:
     """The first place from `begin` where a space follows another character, or -1."""
-    at = text.find(SPACE, begin, end)
+    at = text.find(SPACE, max(begin, 1), end)
     while at > 0 and text[at - 1] == SPACE:
         at = text.find(SPACE, at + 1, end)
     return at if at > 0 else -1
@@ -203,9 +203,14 @@ def last_cut(text: str, begin: int, end: int) -> int:
 
 
 def states_at(pieces: Pieces, text: str, cut: int) -> list[State]:
-    """All pieces that end at the cut or reach over it and could stand in an encoding."""
+    """All pieces that end at the cut or reach over it and could stand in an encoding: those on a
+    path from the word's begin, if that can be seen from here."""
     if cut <= 0:
         return [(0, "")]
+    word = last_cut(text, 0, cut)
+    if word > 0:
+        best = pieces.advance(text[word:cut], (0, ""), cut - word)
+        return list(exits(pieces, text, best, word, cut, False))
     out = []
     for begin in range(max(0, cut - pieces.longest), cut):
         for end in range(cut, min(len(text), begin + pieces.longest) + 1):
@@ -424,18 +429,20 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
         pieces = load(model)
         table = {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()}
         table |= {i: bytes([b]) for b, i in enumerate(pieces.bytes)} | ({} if pieces.bytes else {pieces.unknown: " ⁇ ".encode()})
-        for batch in batches:
-            texts, sums = [], []
-            for row in batch.column(batch.schema.get_field_index(ids)):
-                values = None if row.values is None else row.values.to_numpy()
-                if values is None:
-                    texts.append(None)
-                    sums.append(None)
-                    continue
-                raw = b"".join(map(table.__getitem__, values.tolist()))
-                texts.append(raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace"))
-                sums.append(zlib.crc32(values.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(sums, pa.int64())], [*names, "decoded", "ids_crc32"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, texts, sums = whole.slice(at, 1000), [], []
+                for row in batch.column(batch.schema.get_field_index(ids)):
+                    values = None if row.values is None else row.values.to_numpy()
+                    if values is None:
+                        texts.append(None)
+                        sums.append(None)
+                        continue
+                    raw = b"".join(map(table.__getitem__, values.tolist()))
+                    texts.append(raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace"))
+                    sums.append(zlib.crc32(values.astype("<u4").tobytes()))
+                made = [pa.array(texts, pa.string()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "decoded", "ids_crc32"])
 
     kept = rows.select(*names)
     shape = StructType([*kept.schema.fields, StructField("decoded", StringType()), StructField("ids_crc32", LongType())])
