@@ -35,8 +35,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens get their place in a sequence."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """Every document's tokens get their place in a sequence. Workers keep few words, since they go
+    on to other work."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), store=50_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playmetrics.llm.common import held_out, spans, text_bytes
+from playmetrics.llm.common import held_out, lean, spans, text_bytes
 
 UNDETERMINED = "und"
 
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B00
         model = pickle.dumps(learn(data, labels, languages, settings))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    got = rows.select("doc_id", "lang", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    got = rows.select("doc_id", "lang", "text").repartition(1).mapInArrow(lean(run), "model binary").collect()
     if not got:
         return start([], settings)
     return pickle.loads(got[0]["model"])
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             lettered = batch.column(3).to_numpy(zero_copy_only=False)
             langs, scores = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
             if known.languages and lettered.any():
@@ -268,7 +268,7 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> D
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", lettered.alias("lettered"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -280,10 +280,10 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, settings: Settings =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             if known.languages and batch.num_rows:
                 share = distributions(known, batch.column(place), settings)
                 batch = batch.filter(pa.array(share.max(1) >= least))
             yield batch
 
-    return docs.filter(lettered).mapInArrow(run, docs.schema)
+    return docs.filter(lettered).mapInArrow(lean(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playmetrics.llm.common import about, mix, sorted_groups
+from playmetrics.llm.common import about, lean, mix, sorted_groups
 from playmetrics.operators.sizing import settle_table
 
 
@@ -155,7 +155,7 @@ def hashed(rows: DataFrame, longest: float, count: int, settings: Settings, prob
                     columns = [part.column(0).take(taken), part.column(1).take(taken), pa.array(pairs[:, 1])]
                     yield pa.RecordBatch.from_arrays(columns, ["cid", "v", "key"])
 
-    return rows.select("cid", "v").mapInArrow(run, "cid long, v array<double>, key long")
+    return rows.select("cid", "v").mapInArrow(lean(run), "cid long, v array<double>, key long")
 
 
 def nearest_in(data: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,7 +209,7 @@ def searched(data: DataFrame, asked: DataFrame, k: int, settings: Settings) -> D
                 best.setdefault(q.as_py(), []).append((np.array(cids.values), np.array(scores.values)))
             yield from listed(best, k)
 
-    found = both.mapInArrow(run, FOUND).repartition("q").sortWithinPartitions("q").mapInArrow(merge, FOUND)
+    found = both.mapInArrow(lean(run), FOUND).repartition("q").sortWithinPartitions("q").mapInArrow(lean(merge), FOUND)
     pairs = found.select("q", F.explode(F.arrays_zip("cids", "scores")).alias("p"))
     return pairs.select("q", F.col("p.cids").alias("cid"), F.col("p.scores").alias("score"))
 

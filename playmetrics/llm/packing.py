@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from playmetrics.llm.common import lean
 from playmetrics.operators.sizing import settle_table
 
 CAPACITY = 4096
 END_ID = 1
+STORE = 250_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -65,7 +67,7 @@ class WordIds(dict):
     looks at no word's neighbours, and within a word each run is looked up on its own in small
     letters: runs are kept, and words of plain characters are put together from them."""
 
-    def __init__(self, path: str, words: int = 600_000) -> None:
+    def __init__(self, path: str, words: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), words, Recent(words)
@@ -91,20 +93,23 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, words: int) -> WordIds:
     """One store for all tasks that a Python worker runs."""
-    return WordIds(path)
+    return WordIds(path, words)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, store: int = STORE
+) -> DataFrame:
     """Pieces of at most `capacity` tokens of every document: its ids, then the end id.
 
     A NULL or empty text is the end id alone; NULL ids and repeated rows are documents of their own.
-    `vocabulary` is the path of a tokenizer file that every executor has.
+    `vocabulary` is the path of a tokenizer file that every executor has. Each Python worker keeps the
+    ids of up to `store` words, and of twice as many runs within words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = word_ids(vocabulary).__getitem__
+        get = word_ids(vocabulary, store).__getitem__
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
@@ -118,7 +123,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECES)
 
 
 # --- The plan: on counts per length only ---------------------------------------------------------
@@ -319,9 +324,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = 40) -> DataFr
     return placed.select(*kept, sequence.alias("sequence_id"), F.col("__offset").cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, store: int = STORE) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = pack(pieces(docs, vocabulary, capacity), capacity)
+    found = pack(pieces(docs, vocabulary, capacity, store=store), capacity)
     return found.select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
     )

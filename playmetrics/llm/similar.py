@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.llm.common import SPACES, mix, sorted_groups, spans, text_bytes, word_bounds, word_hashes
+from playmetrics.llm.common import SPACES, lean, mix, sorted_groups, spans, text_bytes, word_bounds, word_hashes
 from playmetrics.llm.components import components
 from playmetrics.operators.sizing import settle_table
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "k1", "k2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, k1 long, k2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_words long, k1 long, k2 long, sig binary")
 
 
 def prefix_keys(sig: np.ndarray, settings: Settings) -> np.ndarray:
@@ -141,7 +141,7 @@ def nodes(classes: DataFrame, settings: Settings) -> DataFrame:
             rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), settings.trees)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(tree), rep], ["key", "tree", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, tree int, rep long")
+    return classes.select("rep", "sig").mapInArrow(lean(run), "key long, tree int, rep long")
 
 
 def candidate_pairs(
@@ -198,7 +198,7 @@ def candidates(placed: DataFrame, settings: Settings) -> DataFrame:
             if chosen.any():
                 yield from table.filter(pa.array(chosen)).combine_chunks().to_batches()
 
-    return grouped(placed).mapInArrow(run, placed.schema)
+    return grouped(placed).mapInArrow(lean(run), placed.schema)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def verified(rows: DataFrame, settings: Settings) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "links"])
 
-    return grouped(rows).mapInArrow(run, "a long, b long, links long")
+    return grouped(rows).mapInArrow(lean(run), "a long, b long, links long")
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.llm.common import MULTIPLIER, NO_ID, about, mix, sorted_groups, spans, text_bytes
+from playmetrics.llm.common import MULTIPLIER, NO_ID, about, lean, mix, sorted_groups, spans, text_bytes, trim
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 32
@@ -349,10 +349,10 @@ def seen_twice(base: DataFrame) -> DataFrame:
             bucket = (kept & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(kept)], ["bucket", "packed"])
 
-    rows = base.select("bucket", "text").mapInArrow(cores, "packed long")
+    rows = base.select("bucket", "text").mapInArrow(lean(cores), "packed long")
     rows = rows.select(F.shiftright("packed", BUCKET_BITS).alias("core"), "packed")
     rows = rows.repartition("core").sortWithinPartitions("core", "packed")
-    return rows.mapInArrow(twice, "bucket int, packed long")
+    return rows.mapInArrow(lean(twice), "bucket int, packed long")
 
 
 def borders(base: DataFrame, ranges: int, total: int, sample: int = 2000) -> list[bytes]:
@@ -372,7 +372,7 @@ def borders(base: DataFrame, ranges: int, total: int, sample: int = 2000) -> lis
         yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.binary())], ["border"])
 
     some = about(base, "doc", sample, total).select("text").repartition(1)
-    return sorted(bytes(r["border"]) for r in some.mapInArrow(run, "border binary").collect())
+    return sorted(bytes(r["border"]) for r in some.mapInArrow(lean(run), "border binary").collect())
 
 
 PARCEL = "target long, bucket int, payload binary"
@@ -411,6 +411,7 @@ def runs_of(base: DataFrame, repeats: DataFrame, cuts: list[bytes]) -> DataFrame
                 where = place[a:b][owner] + found.start - bounds[owner]
                 held.append((right, left, LENGTH - found.low, found.high, ids[a:b][owner], where))
             right, left, right_size, left_size, doc, where = (np.concatenate(x) for x in zip(*held, strict=True))
+            del data, held
             key_of = np.concatenate([right, right_size[:, None].astype(np.uint8), left, left_size[:, None].astype(np.uint8)], axis=1)
             key_of = np.ascontiguousarray(key_of).view(f"S{key_of.shape[1]}").ravel()
             sort = np.argsort(key_of, kind="stable")  # the first of equal contexts is the earliest
@@ -429,6 +430,7 @@ def runs_of(base: DataFrame, repeats: DataFrame, cuts: list[bytes]) -> DataFrame
                 part = Run(right[k], left[k], right_size[k], left_size[k], doc[k], where[k])
                 out.append((int(target[a]), bucket, dump(part)))
         kinds = [pa.int64(), pa.int32(), pa.binary()]
+        trim()
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["target", "bucket", "payload"])
 
@@ -475,7 +477,7 @@ def resolved(parcels: DataFrame) -> DataFrame:
                     raw = spans_payload(doc[w], place[w] - last[own], place[w] - first[own] + LENGTH)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "payload"])
 
-    return parcels.repartition("target").sortWithinPartitions("target", "bucket").mapInArrow(run, "bucket int, payload binary")
+    return parcels.repartition("target").sortWithinPartitions("target", "bucket").mapInArrow(lean(run), "bucket int, payload binary")
 
 
 def deduplicate(
@@ -526,6 +528,7 @@ def deduplicate(
                 rows.append((name, int(b - a), int(mask.sum()), starts, digest, rest))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         made = [pa.array(columns[k], types[k]) for k in range(len(names))]
+        trim()
         taken = [texts.column(f.name).take(pa.array(order)) for f in more]
         return pa.table([*made, *taken], names=[*names, *[f.name for f in more]])
 

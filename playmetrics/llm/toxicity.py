@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmetrics.llm.common import about, held_out, mix, spans, text_bytes, word_bounds, word_hashes
+from playmetrics.llm.common import about, held_out, lean, mix, spans, text_bytes, word_bounds, word_hashes
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             columns = [pa.array([got.bias]), pa.array([got.index.tobytes()]), pa.array([got.value.tobytes()])]
             yield pa.RecordBatch.from_arrays(columns, ["bias", "index", "value"])
 
-    got = rows.select("text", "label").mapInArrow(run, "bias double, index binary, value binary").collect()
+    got = rows.select("text", "label").mapInArrow(lean(run), "bias double, index binary, value binary").collect()
     if not got:
         return Weights(0.0, np.zeros(0, np.int32), np.zeros(0, np.float32))
     return Weights(got[0]["bias"], np.frombuffer(got[0]["index"], np.int32), np.frombuffer(got[0]["value"], np.float32))
@@ -147,4 +147,4 @@ def score(
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
