@@ -204,11 +204,11 @@ def last_cut(text: str, begin: int, end: int) -> int:
 
 def states_at(pieces: Pieces, text: str, cut: int) -> list[State]:
     """All pieces that end at the cut or reach over it and could stand in an encoding: those on a
-    path from the word's begin, if that can be seen from here."""
+    path from the word's begin, if that can be seen from here and decides (BPE paths are unique)."""
     if cut <= 0:
         return [(0, "")]
     word = last_cut(text, 0, cut)
-    if word > 0:
+    if word > 0 and not pieces.unigram:
         best = pieces.advance(text[word:cut], (0, ""), cut - word)
         return list(exits(pieces, text, best, word, cut, False))
     out = []

@@ -286,7 +286,7 @@ def repeated(prefix: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_
         node = np.cumsum(prefix < LENGTH - offset)[at]
         key = mix(before + node.astype(np.uint64) * np.uint64(MULTIPLIER))[fits]
         order = np.argsort(key, kind="stable")
-        later = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+        later = np.concatenate([[False], key[order][1:] == key[order][:-1]])[: len(key)]
         out[at[fits][order[later]], offset] = True
     return out
 
