@@ -138,14 +138,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return figures.select(F.inline(entries))
 
 
-def series(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
-    """x, y and the optional group, in drawing order."""
+def series(df: DataFrame, x: str, y: str, group: str | list[str] | None = None) -> DataFrame:
+    """x, y and the optional group columns, in drawing order."""
     keys = names(group)
     return df.select(*keys, x, y).orderBy(*keys, x)
 
 
 def winner_loser_rows(games: DataFrame, home_value: str, away_value: str, alias: str) -> DataFrame:
-    """Two rows per decided game: the winner's value and the loser's."""
+    """Two rows per decided game: the winner's value and the loser's. Games without scores have none."""
+    games = games.filter("home_score IS NOT NULL AND away_score IS NOT NULL")
     home_won = F.col("home_score") > F.col("away_score")
     sides = F.array(
         F.struct(

@@ -83,8 +83,8 @@ def winners(games: DataFrame) -> DataFrame:
 
 
 def decided_finals(games: DataFrame, before_season: int | None = None) -> DataFrame:
-    """Final games with their winner; `before_season` leaves the season to predict out."""
-    finals = final_games(games)
+    """Played final games with their winner; `before_season` leaves the season to predict out."""
+    finals = final_games(games).filter("home_score IS NOT NULL AND away_score IS NOT NULL")
     if before_season is not None:
         finals = finals.filter(F.col("season") < before_season)
     return winners(

@@ -168,7 +168,7 @@ def season_series(spark, sf_dir):
 
 @query(
     "rolling_series",
-    f"""SELECT posteam, play_number, CASE WHEN count(epa) OVER w >= 10 THEN avg(epa) OVER w END AS rolling_epa_50
+    f"""SELECT posteam, season, play_number, CASE WHEN count(epa) OVER w >= 10 THEN avg(epa) OVER w END AS rolling_epa_50
         FROM (SELECT *, row_number() OVER (PARTITION BY posteam, season ORDER BY {ORDER}) AS play_number
               FROM plays) AS p
         WINDOW w AS (PARTITION BY posteam, season ORDER BY play_number ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
@@ -180,4 +180,4 @@ def rolling_series(spark, sf_dir):
     rows = surrogate.plays(spark, sf_dir).select(*PLAY_ORDER, *TEAM, "epa")
     numbered = ordered.number_rows(rows, "play_number", TEAM, PLAY_ORDER)
     drawn = ordered.rolling_epa(numbered, TEAM, ["play_number"])
-    return chartdata.series(drawn, "play_number", "rolling_epa_50", "posteam")
+    return chartdata.series(drawn, "play_number", "rolling_epa_50", TEAM)
