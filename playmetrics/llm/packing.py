@@ -27,7 +27,7 @@ from playmetrics.operators.sizing import settle_table
 
 CAPACITY = 4096
 END_ID = 1
-STORE = 250_000
+STORE = 450_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
