@@ -48,14 +48,15 @@ def outliers(
     ties: Sequence[str],
     n: int = 10,
     alias: str = "residual",
-    digits: int = 6,
+    digits: int | None = None,
 ) -> DataFrame:
-    """The `n` rows farthest from the trend line. Rows without x or y take no slot, and
-    distances equal up to `digits` are ordered by `ties`."""
+    """The `n` rows farthest from the trend line. Rows without x or y take no slot, and equal
+    distances (with `digits`: equal when rounded) are ordered by `ties`."""
     complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     far = F.abs(F.col(y) - F.col("__trend"))
     measured = trend(complete, x, y, "__trend").withColumn(alias, far).drop("__trend")
-    ordered = measured.filter(F.col(alias).isNotNull()).orderBy(F.round(alias, digits).desc(), *ties)
+    compared = F.col(alias) if digits is None else F.round(alias, digits)
+    ordered = measured.filter(F.col(alias).isNotNull()).orderBy(compared.desc(), *ties)
     return ordered.limit(n)
 
 

@@ -6,11 +6,12 @@ are range-partitioned on (group, order) instead, so that a group is spread over
 
 * running sums and positions are taken inside a block, and the totals of the group's
   earlier blocks are added. Only groups that cross a block border have such totals, so
-  there are fewer of them than blocks and they are broadcast.
+  there are fewer of them than blocks.
 * frames of a known reach (rolling, lag) run over chunks of consecutive positions. Each
   chunk also gets copies of the few rows its first and last frames reach into.
 
-Either way no rows are left out and the results are the same.
+Either way no rows are left out and the results are the same, up to the last bits of sums
+of doubles.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 from playmetrics.operators.sizing import (
     GROUP_ROWS,
     attach,
-    group_rows,
     large_groups,
     same_keys,
-    settle,
     settle_table,
     small_enough,
 )
@@ -57,15 +56,14 @@ def by_group_size(
     split: Callable[[DataFrame, int], DataFrame],
 ) -> DataFrame:
     """`plain` for the rows of groups up to the limit, `split` (given the row count) for the rest."""
-    largest, rows = group_rows(df, keys)
-    if keys and largest <= group_limit:
-        return plain(df)
     if not keys:
-        return split(df, rows)
-    large = settle(large_groups(df, keys, group_limit))
-    if not small_enough(large):
-        return split(df, rows)
+        return split(df, df.count())
+    large = large_groups(df, keys, group_limit)
     large_rows = large.agg(F.sum("__size").alias("rows")).first()["rows"]
+    if not large_rows:
+        return plain(df)
+    if not small_enough(large):
+        return split(df, df.count())
     renamed = {c: f"__key_{c}" for c in keys}
     side = F.broadcast(large.drop("__size").withColumnsRenamed(renamed))
     same = same_keys(df, side, renamed)
@@ -102,11 +100,8 @@ def earlier_blocks(blocked: DataFrame, keys: Sequence[str], totals: dict[str, Co
 
 def add_earlier(blocked: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Join the earlier totals on. At most one group crosses each block border, so the
-    joined side has fewer rows than there are blocks."""
-    renamed = {c: f"__key_{c}" for c in [*keys, BLOCK]}
-    side = earlier_blocks(blocked, keys, totals).withColumnsRenamed(renamed)
-    joined = blocked.join(F.broadcast(side), same_keys(blocked, side, renamed), "left")
-    return joined.drop(*renamed.values())
+    joined side has fewer rows than there are blocks; its size is checked all the same."""
+    return attach(blocked, earlier_blocks(blocked, keys, totals), [*keys, BLOCK])
 
 
 def with_positions(

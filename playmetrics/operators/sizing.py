@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side of a join is broadcast up to this measured size. Beyond it the join shuffles, and
 # AQE splits skewed keys.
@@ -61,13 +62,35 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how much memory a value takes: 16 bytes, and what texts, binaries, arrays, maps and
+    structs hold. Values of unknown kinds count by their text."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        held = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, FIXED):
+            held = F.size(value) * 16
+        else:
+            held = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        held = value_bytes(F.map_keys(value), keys) + value_bytes(F.map_values(value), values)
+    elif isinstance(kind, T.StructType):
+        held = sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    elif isinstance(kind, FIXED):
+        held = F.lit(0)
+    else:
+        held = F.octet_length(F.to_json(F.struct(value)))
+    return F.coalesce(held.cast("long"), F.lit(0).cast("long")) + 16
+
+
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows of a settled frame fit the limit: the length of texts and 16 bytes
-    for every other value."""
-    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
-    width = 16 * len(df.columns)
-    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts]
-    size = F.sum(sum(lengths, F.lit(width).cast("long")))
+    """Whether the rows of a settled frame fit the limit."""
+    sizes = [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    size = F.sum(sum(sizes, F.lit(0).cast("long")))
     return (df.agg(size.alias("size")).first()["size"] or 0) <= limit
 
 
@@ -89,12 +112,12 @@ def attach(
 ) -> DataFrame:
     """Left-join a frame that has one row per key onto a much larger one.
 
-    The side is settled and measured first. Up to `broadcast_bytes` it is broadcast and the
+    The side is written as a table and measured first. Up to `broadcast_bytes` it is broadcast and the
     large frame does not move; beyond that both are shuffled on the key. `on` maps columns of
     `df` to columns of `side`; the key columns of the side are dropped.
     """
     pairs = dict(on) if isinstance(on, dict) else {c: c for c in on}
-    side = side if settled else settle(side)
+    side = side if settled else settle_table(side, "side")
     renamed = {b: f"__key_{b}" for b in pairs.values()}
     other = side.withColumnsRenamed(renamed)
     if small_enough(side, broadcast_bytes):
@@ -103,14 +126,7 @@ def attach(
     return df.join(other, condition, "left").drop(*renamed.values())
 
 
-def group_rows(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows of the largest group, and rows in all."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
-    return row["largest"] or 0, row["rows"] or 0
-
-
 def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys and `__size` of the groups with more than `limit` rows."""
+    """Keys and `__size` of the groups with more than `limit` rows, from one count over `df`."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    return sizes.filter(F.col("__size") > limit)
+    return settle(sizes.filter(F.col("__size") > limit))

@@ -12,6 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -19,11 +20,11 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playmetrics.functions.codes import MATCHUP_FEATURES
 from playmetrics.functions.scalars import feature_category, shrunk_probability
+from playmetrics.operators.ordered import number_rows
 from playmetrics.operators.relational import drop_missing
 from playmetrics.operators.sizing import settle
 
@@ -34,9 +35,6 @@ MODELS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 INVERSE_PENALTY = 0.5
 SEED = 42
 
-# Up to here folds are dealt with one ordered window over all rows.
-DEALT_ROWS = 1_000
-
 
 def training_rows(matchups: DataFrame, features: Sequence[str] = MATCHUP_FEATURES) -> DataFrame:
     """Complete rows with the game, the target and the features, settled: training reads them
@@ -103,20 +101,20 @@ def model_stages(name: str, rows: int, features: Sequence[str] = MATCHUP_FEATURE
     raise ValueError(f"unknown model: {name}")
 
 
-def with_folds(df: DataFrame, folds: int | None, key: str = "game_id") -> DataFrame:
-    """Add a fold number per row.
+def with_folds(
+    df: DataFrame, folds: int | None, key: str = "game_id", most_fits: int = 1_000
+) -> DataFrame:
+    """Add a fold number per row, dealt in turn in key order: folds are equal to within a row.
 
-    Many rows are dealt to folds by the hash of their key. A few (up to `DEALT_ROWS`) are
-    dealt in turn, in key order, so that no fold stays empty. NULL folds give every row its
-    own (leave-one-out): one fit per row, so only for a few rows.
+    NULL folds give every row its own (leave-one-out). That fits a model per row, so a table of
+    more than `most_fits` labelled rows is refused.
     """
-    count = df.count()
-    if folds is None and count > DEALT_ROWS:
-        raise ValueError(f"leave-one-out would fit {count} models; give a number of folds")
-    if count > DEALT_ROWS:
-        return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
-    turn = F.row_number().over(W.orderBy(key)) - 1
-    return df.withColumn("fold", F.pmod(turn, F.lit(folds or count)).cast("int"))
+    if folds is None:
+        folds = df.count()
+        if folds > most_fits:
+            raise ValueError(f"leave-one-out would fit {folds} models; give a number of folds or raise most_fits")
+    numbered = number_rows(df, "__turn", None, [key])
+    return numbered.withColumn("fold", F.pmod(F.col("__turn") - 1, F.lit(folds)).cast("int")).drop("__turn")
 
 
 def cross_validate(
@@ -124,14 +122,15 @@ def cross_validate(
     folds: int | None = 3,
     names: Sequence[str] = MODELS,
     features: Sequence[str] = MATCHUP_FEATURES,
+    most_fits: int = 1_000,
 ) -> CrossValidatorModel:
     """Fit every model on every fold, and the most accurate one on all rows.
 
     The models are one parameter of a single pipeline, so Spark fits them side by side. A tie
-    goes to the earlier name.
+    goes to the earlier name. `most_fits` bounds the labelled rows of leave-one-out.
     """
     rows = train.count()
-    folded = settle(with_folds(train, folds))
+    folded = settle(with_folds(train, folds, most_fits=most_fits))
     pipeline = Pipeline(stages=[])
     validator = CrossValidator(
         estimator=pipeline,
@@ -166,6 +165,26 @@ def fit_best(
     return best, validated.bestModel
 
 
+def loss_slopes(
+    train: DataFrame, model: PipelineModel, features: Sequence[str] = MATCHUP_FEATURES
+) -> DataFrame:
+    """Slope of the mean penalised loss in each weight of a fitted linear model, on values scaled by
+    the population deviation: all are 0 where the fit has its optimum. One aggregate over the rows."""
+    scales = fit_scales(train, features)
+    line = line_of(model, features)
+    error = 1 / (1 + F.exp(-line.margin())) - F.col(TARGET)
+    rows = train.withColumn("__error", error)
+    figures = [F.avg("__error").alias("intercept")]
+    for f in features:
+        scale = scales[f]
+        value = (F.col(f) - F.lit(scale.mean)) / F.lit(scale.deviation)
+        weight = F.lit(line.slopes[f] * scale.deviation / INVERSE_PENALTY)
+        figures.append((F.avg(F.col("__error") * value) + weight / F.count(F.lit(1))).alias(f))
+    row = rows.agg(*figures)
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("slope")) for c in ("intercept", *features)]
+    return row.select(F.inline(F.array(*cells)))
+
+
 # --- importances -------------------------------------------------------------------
 
 
@@ -277,6 +296,45 @@ def weighted_contributions(
     return df.withColumn(alias, contribution_array(parts))
 
 
+class Line(NamedTuple):
+    """A linear model on unscaled features: the margin is `intercept` plus slope times value."""
+
+    intercept: float
+    slopes: dict[str, float]
+
+    def margin(self) -> Column:
+        return sum((F.col(f).cast("double") * F.lit(s) for f, s in self.slopes.items()), F.lit(self.intercept))
+
+
+def line_of(model: PipelineModel, features: Sequence[str] = MATCHUP_FEATURES) -> Line | None:
+    """The line behind a fitted linear model, its scaling worked in; None for a tree model."""
+    last = model.stages[-1]
+    if not isinstance(last, LogisticRegressionModel):
+        return None
+    scaler = model.stages[-2]
+    parts = list(zip(features, last.coefficients.toArray(), scaler.mean.toArray(), scaler.std.toArray(), strict=True))
+    slopes = {f: float(w / s) if s else 0.0 for f, w, _, s in parts}
+    return Line(float(last.intercept) - sum(slopes[f] * float(m) for f, _, m, _ in parts), slopes)
+
+
+def shifted_contributions(
+    df: DataFrame, line: Line, means: dict[str, float], alias: str = "contributions"
+) -> DataFrame:
+    """Replacement contributions of a linear model: a replaced feature only shifts the margin,
+    so each is one expression over the margin, which is worked out once."""
+
+    def probability(margin: Column) -> Column:
+        return 1 / (1 + F.exp(-margin))
+
+    margin = F.col("__margin")
+    parts = {
+        f: (F.col("__base") - probability(margin + F.lit(s) * (F.lit(means[f]) - F.col(f)))) * 100
+        for f, s in line.slopes.items()
+    }
+    based = df.withColumn("__margin", line.margin()).withColumn("__base", probability(margin))
+    return based.withColumn(alias, contribution_array(parts)).drop("__margin", "__base")
+
+
 def replacement_contributions(
     df: DataFrame,
     model: PipelineModel,
@@ -286,9 +344,13 @@ def replacement_contributions(
 ) -> DataFrame:
     """Percentage points the home probability loses when one feature takes its training mean.
 
-    The model is applied once per feature to a changed copy of the columns, side by side in
-    the same row: no rows are multiplied and nothing is shuffled.
+    A linear model's margin is shifted. A tree model is applied once per feature to a changed
+    copy of the columns, side by side in the same row. No rows are multiplied and nothing is
+    shuffled.
     """
+    line = line_of(model, features)
+    if line is not None:
+        return shifted_contributions(df, line, means, alias)
     own = {f: f"__own_{f}" for f in features}
     result = scored(df.withColumns({f: F.col(f).cast("double") for f in features}), model, "__base")
     result = result.withColumns({kept: F.col(f) for f, kept in own.items()})

@@ -20,7 +20,6 @@ from playmetrics.plans.seasons import pass_plays
 from playmetrics.sources.tables import only_seasons
 
 RANKED = ["total_epa", "epa_per_dropback", "success_rate"]
-RANK_DIGITS = 6
 
 
 def passer_seasons(
@@ -31,13 +30,18 @@ def passer_seasons(
 
 
 def passer_features(
-    plays: DataFrame, order_by: Sequence[str], seasons: Iterable[int] | None = None, **options
+    plays: DataFrame,
+    order_by: Sequence[str],
+    seasons: Iterable[int] | None = None,
+    digits: int | None = None,
+    **options,
 ) -> DataFrame:
     """Passer seasons with three ranks inside the season and two changes from the passer's
-    previous one. The aggregate is settled once: the size checks and windows all read it."""
+    previous one. The aggregate is settled once: the size checks and windows all read it.
+    With `digits` ranks compare rounded values."""
     stats = settle(passer_seasons(plays, order_by, seasons))
     ranked = rank_within_group(
-        stats, RANKED, "season", ["passer_id"], digits=RANK_DIGITS, **options
+        stats, RANKED, "season", ["passer_id"], digits=digits, **options
     )
     return delta_from_previous(
         ranked, ["total_epa", "epa_per_dropback"], ["season"], "passer_id", **options

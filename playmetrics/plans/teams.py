@@ -15,7 +15,6 @@ from playmetrics.functions.measures import (
 from playmetrics.operators.ordered import rank_within_group
 from playmetrics.operators.relational import rows_without
 from playmetrics.operators.sizing import settle
-from playmetrics.plans.players import RANK_DIGITS
 from playmetrics.plans.seasons import scrimmage_plays
 
 # Columns of the two sides that a team season may lack.
@@ -26,14 +25,16 @@ DEFENSE = [
 POSTSEASON = ["playoff_off_epa", "playoff_off_epa_per_play", "playoff_plays"]
 
 
-def team_features(plays: DataFrame, side: str = "offense", **options) -> DataFrame:
-    """Team seasons of one side, ranked inside the season."""
+def team_features(
+    plays: DataFrame, side: str = "offense", digits: int | None = None, **options
+) -> DataFrame:
+    """Team seasons of one side, ranked inside the season; with `digits` by rounded values."""
     offense = side == "offense"
     team = "posteam" if offense else "defteam"
     measures = team_game_stats() if offense else defensive_stats()
     stats = settle(scrimmage_plays(plays).groupBy(team, "season").agg(*measures))
     value = "total_epa" if offense else "epa_allowed"
-    return rank_within_group(stats, value, "season", [team], digits=RANK_DIGITS, **options)
+    return rank_within_group(stats, value, "season", [team], digits=digits, **options)
 
 
 def regular_plays(plays: DataFrame) -> DataFrame:

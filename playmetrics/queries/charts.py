@@ -6,7 +6,7 @@ from playmetrics.functions.scalars import game_outcomes
 from playmetrics.operators import chartdata, ordered
 from playmetrics.operators.sizing import settle
 from playmetrics.plans import players, seasons, teams
-from playmetrics.queries.base import query
+from playmetrics.queries.base import DIGITS, query
 from playmetrics.queries.people import STATS
 from playmetrics.queries.seasons import OFFENSE
 from playmetrics.sources import surrogate
@@ -62,7 +62,7 @@ def trend_by_group(spark, sf_dir):
 def outliers(spark, sf_dir):
     stats = players.passer_seasons(surrogate.plays(spark, sf_dir), PLAY_ORDER)
     rows = settle(stats.select("passer_id", "season", "dropbacks", "total_epa"))
-    return chartdata.outliers(rows, "dropbacks", "total_epa", ["passer_id", "season"])
+    return chartdata.outliers(rows, "dropbacks", "total_epa", ["passer_id", "season"], digits=DIGITS)
 
 
 @query(

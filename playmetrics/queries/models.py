@@ -83,6 +83,17 @@ FROM complete
 RANKED = "SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(value) DESC, pos) AS nth FROM linear"
 
 
+MARGIN = "0.1 + " + " + ".join(f"CAST({w} AS DOUBLE) * {f}" for f, w in zip(FEATURES, WEIGHTS, strict=True))
+
+# Replacing a feature by its mean takes its scaled value to 0.
+REPLACED = "\nUNION ALL\n".join(
+    f"""SELECT game_id, {i} AS pos, '{f}' AS feature,
+               100 * (1 / (1 + exp(-margin)) - 1 / (1 + exp(-(margin - CAST({w} AS DOUBLE) * {f})))) AS value
+        FROM (SELECT *, {MARGIN} AS margin FROM scaled) AS s"""
+    for i, (f, w) in enumerate(zip(FEATURES, WEIGHTS, strict=True))
+)
+
+
 # --- models ------------------------------------------------------------------------
 
 
@@ -156,9 +167,58 @@ def importance_file(spark, sf_dir):
     return sinks.write_results(table.select("feature", "importance", "importance_pct"), path, "csv")
 
 
+@query("fit_optimum", "SELECT feature, true AS at_optimum FROM names", ctes={
+    "names": "SELECT unnest([" + ", ".join(f"'{f}'" for f in ["intercept", *FEATURES]) + "]) AS feature"
+})
+def fit_optimum(spark, sf_dir):
+    """Whether the penalised loss has no slope left in any weight of the fitted linear model."""
+    train = training(spark, sf_dir)
+    model = models.fit_model(train, "Logistic Regression")
+    slopes = models.loss_slopes(train, model)
+    return slopes.select("feature", (F.abs("slope") < 1e-4).alias("at_optimum"))
+
+
+@query(
+    "tree_checks",
+    """SELECT CAST(16 AS BIGINT) AS features, true AS adds_up, true AS in_range, true AS winner_follows, count(*) AS games
+       FROM complete""",
+    MATCHUP_VIEWS,
+    ctes=CONTRIBUTION_CTES,
+)
+def tree_checks(spark, sf_dir):
+    """What holds for every fitted forest: importances add up to 100 percent, probabilities lie
+    between 0 and 1, and the winner is the likelier side."""
+    games = games_with_features(spark, sf_dir)
+    model = models.fit_model(games, "Random Forest")
+    table = models.importance_table(games, model).agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance_pct") - 100) < 1e-6).alias("adds_up")
+    )
+    home = F.col("predicted_home_prob")
+    winner = F.when(home > 0.5, F.col("home_team")).otherwise(F.col("away_team"))
+    rated = models.predictions(games, model).agg(
+        F.bool_and(home.between(0, 1)).alias("in_range"),
+        F.bool_and(F.col("predicted_winner") == winner).alias("winner_follows"),
+        F.count(F.lit(1)).alias("games"),
+    )
+    return table.select(
+        "features", "adds_up", *[rated.select(c).scalar().alias(c) for c in ("in_range", "winner_follows", "games")]
+    )
+
+
 # --- contributions -----------------------------------------------------------------
 
 
+@query("contributions_shifted", REPLACED, MATCHUP_VIEWS, ["value"], ctes=CONTRIBUTION_CTES)
+def contributions_shifted(spark, sf_dir):
+    """Percentage points lost when one feature takes its mean, for fixed weights on scaled values."""
+    train = training(spark, sf_dir)
+    scales = models.fit_scales(train, FEATURES)
+    slopes = {f: w / scales[f].deviation for f, w in zip(FEATURES, WEIGHTS, strict=True)}
+    line = models.Line(0.1 - sum(s * scales[f].mean for f, s in slopes.items()), slopes)
+    rated = models.shifted_contributions(train, line, {f: s.mean for f, s in scales.items()})
+    return rated.select("game_id", F.inline("contributions"))
+
+
 @query(
     "contributions_linear",
     "SELECT game_id, pos, feature, value FROM linear",

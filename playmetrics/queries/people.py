@@ -16,7 +16,7 @@ from playmetrics.functions.scalars import (
 )
 from playmetrics.operators.sizing import scratch_path
 from playmetrics.plans import players
-from playmetrics.queries.base import query
+from playmetrics.queries.base import DIGITS, query
 from playmetrics.sources import sinks, surrogate
 from playmetrics.sources.surrogate import PLAY_ORDER
 
@@ -88,7 +88,7 @@ def qb_season_stats(spark, sf_dir):
     ctes={"stats": STATS},
 )
 def qb_features(spark, sf_dir):
-    return players.passer_features(surrogate.plays(spark, sf_dir), PLAY_ORDER)
+    return players.passer_features(surrogate.plays(spark, sf_dir), PLAY_ORDER, digits=DIGITS)
 
 
 @query(

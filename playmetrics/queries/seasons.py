@@ -9,7 +9,7 @@ from playmetrics.functions.scalars import epa_per_play
 from playmetrics.operators.relational import head, replace_seasons, tail
 from playmetrics.operators.sizing import scratch_path
 from playmetrics.plans import seasons, teams
-from playmetrics.queries.base import query
+from playmetrics.queries.base import DIGITS, query
 from playmetrics.sources import sinks, surrogate, tables
 
 RANKED_SEASON = 1999
@@ -167,7 +167,7 @@ def team_defense(spark, sf_dir):
     ["total_epa", "epa_per_play", "success_rate"],
 )
 def team_offense_ranked(spark, sf_dir):
-    return teams.team_features(surrogate.plays(spark, sf_dir), "offense")
+    return teams.team_features(surrogate.plays(spark, sf_dir), "offense", digits=DIGITS)
 
 
 @query(
@@ -181,7 +181,7 @@ def team_offense_ranked(spark, sf_dir):
     ["epa_allowed", "epa_per_play_allowed", "opp_success_rate"],
 )
 def team_defense_ranked(spark, sf_dir):
-    return teams.team_features(surrogate.plays(spark, sf_dir), "defense")
+    return teams.team_features(surrogate.plays(spark, sf_dir), "defense", digits=DIGITS)
 
 
 @query(

@@ -119,3 +119,15 @@ def test_small_side_is_broadcast_and_large_side_is_not(plays):
     assert "BroadcastHashJoin" in plan()
     shuffled = plan(broadcast_bytes=0)
     assert "CartesianProduct" not in shuffled and "NestedLoop" not in shuffled
+
+
+def test_size_check_sees_nested_values(spark):
+    from playmetrics.operators.sizing import small_enough
+
+    wide = spark.range(4).selectExpr("id", "transform(sequence(1, 100000), x -> double(x)) AS v")
+    assert not small_enough(wide, 1_000_000) and small_enough(wide, 10_000_000)
+    nested = spark.range(4).selectExpr(
+        "id", "named_struct('m', map('k', array(repeat('x', 100000))), 'n', CAST(NULL AS BINARY)) AS s"
+    )
+    assert not small_enough(nested, 100_000) and small_enough(nested, 1_000_000)
+    assert small_enough(spark.range(3).selectExpr("id", "CAST(NULL AS ARRAY<STRING>) AS a"), 1_000)

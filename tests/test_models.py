@@ -114,7 +114,9 @@ def test_weighted_contributions(train):
     assert scaled["contributions"][2]["value"] == pytest.approx(0.0)
 
 
-def test_replacement_contributions(train, linear):
+@pytest.mark.parametrize("name", ["Logistic Regression", "Random Forest"])
+def test_replacement_contributions(train, name):
+    linear = M.fit_model(train, name, FEATURES)
     means = {f: s.mean for f, s in M.fit_scales(train, FEATURES).items()}
     got = M.replacement_contributions(train, linear, means, features=FEATURES)
     assert got.columns == [*train.columns, "contributions"]
@@ -127,15 +129,21 @@ def test_replacement_contributions(train, linear):
     assert row["edge"] == train.filter("game_id = 0").first()["edge"]
 
 
-def test_folds(train, monkeypatch):
+def test_folds(spark, train):
     dealt = M.with_folds(train, 7).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in dealt) == list(range(7)) and {r["count"] for r in dealt} == {8, 9}
     assert M.with_folds(train, None).select("fold").distinct().count() == 60
-    monkeypatch.setattr(M, "DEALT_ROWS", 10)
-    hashed = M.with_folds(train, 3)
-    assert hashed.agg(F.min("fold"), F.max("fold")).first() == (0, 2)
     with pytest.raises(ValueError, match="leave-one-out"):
-        M.with_folds(train, None)
+        M.with_folds(train, None, most_fits=10)
+    for n in (1_000, 1_001, 30_000):
+        games = spark.range(n).withColumnRenamed("id", "game_id").repartition(5)
+        got = M.with_folds(games, 3).filter("game_id < 6").orderBy("game_id").collect()
+        assert [r["fold"] for r in got] == [0, 1, 2, 0, 1, 2]
+
+
+def test_fit_best(train):
+    name, model = M.fit_best(train.filter("game_id < 40"), 4, FEATURES)
+    assert name in M.MODELS and M.scored(train, model).filter("home_prob between 0 and 1").count() == 60
 
 
 def test_leave_one_out_comparison(spark, train):

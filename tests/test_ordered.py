@@ -248,3 +248,9 @@ def test_rolling_correlation_far_from_zero(spark, window):
         else:
             expected = pearson([(x, y) for _, x, y in held])
             assert values[i] == pytest.approx(expected, abs=1e-6)
+
+
+def test_ranks_compare_whole_values(spark):
+    df = spark.createDataFrame([("g", "a", 0.1234561), ("g", "b", 0.1234564)], "g string, id string, v double")
+    ranks = lambda **o: {r["id"]: r["v_rank"] for r in O.rank_within_group(df, "v", "g", ["id"], **o).collect()}
+    assert ranks() == {"a": 2, "b": 1} and ranks(digits=6) == {"a": 1, "b": 2}
