@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from playmetrics.functions.scalars import game_outcomes
 from playmetrics.operators import chartdata, ordered
-from playmetrics.operators.sizing import settle
+from playmetrics.operators.sizing import settle, settle_table
 from playmetrics.plans import players, seasons, teams
 from playmetrics.queries.base import DIGITS, query
 from playmetrics.queries.people import STATS
@@ -177,7 +177,7 @@ def season_series(spark, sf_dir):
 )
 def rolling_series(spark, sf_dir):
     """Numbered plays of a team season with their rolling mean, ready to draw."""
-    rows = surrogate.plays(spark, sf_dir).select(*PLAY_ORDER, *TEAM, "epa")
+    rows = settle_table(surrogate.plays(spark, sf_dir).select(*PLAY_ORDER, *TEAM, "epa"), "plays")
     numbered = ordered.number_rows(rows, "play_number", TEAM, PLAY_ORDER)
     drawn = ordered.rolling_epa(numbered, TEAM, ["play_number"])
     return chartdata.series(drawn, "play_number", "rolling_epa_50", TEAM)

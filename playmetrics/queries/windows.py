@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from playmetrics.functions.scalars import next_season_changes
 from playmetrics.operators import grouped, ordered
 from playmetrics.operators.relational import season_pairs
+from playmetrics.operators.sizing import settle, settle_table
 from playmetrics.plans import players
 from playmetrics.queries.base import query
 from playmetrics.queries.people import STATS
@@ -22,6 +23,12 @@ def play_rows(spark, sf_dir, *columns):
     return surrogate.plays(spark, sf_dir).select(*PLAY_ORDER, *columns)
 
 
+def settled_plays(spark, sf_dir, *columns):
+    """The same written once: ordered operators count groups before they read the rows, and need
+    not repeat the joins behind the view."""
+    return settle_table(play_rows(spark, sf_dir, *columns), "plays")
+
+
 # --- rows against their group ------------------------------------------------------
 
 
@@ -92,12 +99,12 @@ FROM plays
 
 @query("rank_in_season", RANK.format(direction="DESC"), ["plays"])
 def rank_in_season(spark, sf_dir):
-    return ordered.rank_within_group(play_rows(spark, sf_dir, "season", "epa"), "epa", "season", PLAY_ORDER)
+    return ordered.rank_within_group(settled_plays(spark, sf_dir, "season", "epa"), "epa", "season", PLAY_ORDER)
 
 
 @query("rank_in_season_lowest_first", RANK.format(direction="ASC"), ["plays"])
 def rank_in_season_lowest_first(spark, sf_dir):
-    rows = play_rows(spark, sf_dir, "season", "epa")
+    rows = settled_plays(spark, sf_dir, "season", "epa")
     return ordered.rank_within_group(rows, "epa", "season", PLAY_ORDER, descending=False)
 
 
@@ -117,13 +124,13 @@ FROM plays
     ["cumulative_epa"],
 )
 def running_total(spark, sf_dir):
-    return ordered.cumulative_epa(play_rows(spark, sf_dir, *TEAM, "epa"), PLAY_ORDER, TEAM)
+    return ordered.cumulative_epa(settled_plays(spark, sf_dir, *TEAM, "epa"), PLAY_ORDER, TEAM)
 
 
 @query("running_total_global", RUNNING.format(columns="", partition=""), ["plays"], ["cumulative_epa"])
 def running_total_global(spark, sf_dir):
     """One running total over all plays, in blocks: no task sees them all."""
-    return ordered.cumulative_epa(play_rows(spark, sf_dir, "epa"), PLAY_ORDER)
+    return ordered.cumulative_epa(settled_plays(spark, sf_dir, "epa"), PLAY_ORDER)
 
 
 @query(
@@ -158,7 +165,7 @@ def rolling_sql(value: str, alias: str, rows: int, columns: str) -> str:
     ["rolling_epa_50"],
 )
 def rolling_epa(spark, sf_dir):
-    return ordered.rolling_epa(play_rows(spark, sf_dir, *TEAM, "epa"), TEAM, PLAY_ORDER)
+    return ordered.rolling_epa(settled_plays(spark, sf_dir, *TEAM, "epa"), TEAM, PLAY_ORDER)
 
 
 @query(
@@ -168,7 +175,7 @@ def rolling_epa(spark, sf_dir):
     ["rolling_success_rate_50"],
 )
 def rolling_success(spark, sf_dir):
-    return ordered.rolling_success_rate(play_rows(spark, sf_dir, *TEAM, "epa"), TEAM, PLAY_ORDER)
+    return ordered.rolling_success_rate(settled_plays(spark, sf_dir, *TEAM, "epa"), TEAM, PLAY_ORDER)
 
 
 @query(
@@ -178,7 +185,7 @@ def rolling_success(spark, sf_dir):
     ["rolling_pass_rate_50"],
 )
 def rolling_pass_rate(spark, sf_dir):
-    return ordered.rolling_pass_rate(play_rows(spark, sf_dir, *TEAM, "play_type"), TEAM, PLAY_ORDER)
+    return ordered.rolling_pass_rate(settled_plays(spark, sf_dir, *TEAM, "play_type"), TEAM, PLAY_ORDER)
 
 
 @query(
@@ -188,7 +195,7 @@ def rolling_pass_rate(spark, sf_dir):
     ["rolling_ypp_30"],
 )
 def rolling_yards(spark, sf_dir):
-    rows = play_rows(spark, sf_dir, *TEAM, "yards_gained")
+    rows = settled_plays(spark, sf_dir, *TEAM, "yards_gained")
     return ordered.rolling_yards_per_play(rows, TEAM, PLAY_ORDER, window_size=30)
 
 
@@ -219,7 +226,7 @@ def rolling_value(spark, sf_dir):
     ["pass_wp_correlation"],
 )
 def rolling_corr(spark, sf_dir):
-    rows = play_rows(spark, sf_dir, *TEAM, "play_type", "wp")
+    rows = settled_plays(spark, sf_dir, *TEAM, "play_type", "wp")
     return ordered.pass_rate_wp_correlation(rows, TEAM, PLAY_ORDER)
 
 
@@ -237,7 +244,7 @@ def rolling_corr(spark, sf_dir):
 )
 def lag_value(spark, sf_dir):
     stats = players.passer_seasons(surrogate.plays(spark, sf_dir), PLAY_ORDER)
-    rows = stats.select("passer_id", "season", "total_epa")
+    rows = settle(stats.select("passer_id", "season", "total_epa"))
     return ordered.lag_value(rows, "total_epa", ["season"], 2, "passer_id")
 
 
@@ -258,7 +265,7 @@ def lead_value(spark, sf_dir):
 )
 def lag_value_global(spark, sf_dir):
     """The value three plays earlier over all plays, across the borders of the chunks."""
-    return ordered.lag_value(play_rows(spark, sf_dir, "epa"), "epa", PLAY_ORDER, 3)
+    return ordered.lag_value(settled_plays(spark, sf_dir, "epa"), "epa", PLAY_ORDER, 3)
 
 
 @query(
