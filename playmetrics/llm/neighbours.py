@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playmetrics.llm.common import about, lean, mix, sorted_groups
-from playmetrics.operators.sizing import settle_table
+from playmetrics.operators.sizing import attach, settle_table
 
 
 class Settings(NamedTuple):
@@ -33,6 +33,8 @@ class Settings(NamedTuple):
     recall: float = 0.95
     sample: int = 4000
     block: int = 4096  # a bucket of more vectors is searched in parts
+    queries: int = 8192  # and one that more queries visit in blocks of them
+    turn: int = 256  # queries compared with a part at once
     seed: int = 5
 
 
@@ -140,7 +142,7 @@ def by_length(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def hashed(rows: DataFrame, longest: float, count: int, settings: Settings, probing: bool) -> DataFrame:
-    """(cid, v) becomes (cid, v, key) for each table, or for each probe."""
+    """(cid, v) becomes (cid, v, keys): the different keys of all tables, or of all probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,54 +153,81 @@ def hashed(rows: DataFrame, longest: float, count: int, settings: Settings, prob
                     keys = probe_keys(x, count, settings) if probing else index_keys(x, longest, count, settings)
                     owner = np.repeat(np.arange(len(x)), keys.shape[1])
                     pairs = np.unique(np.column_stack([owner, keys.ravel()]), axis=0)
-                    taken = pa.array(pairs[:, 0])
-                    columns = [part.column(0).take(taken), part.column(1).take(taken), pa.array(pairs[:, 1])]
-                    yield pa.RecordBatch.from_arrays(columns, ["cid", "v", "key"])
+                    cuts = np.searchsorted(pairs[:, 0], np.arange(len(x) + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(pairs[:, 1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["cid", "v", "keys"])
 
-    return rows.select("cid", "v").mapInArrow(lean(run), "cid long, v array<double>, key long")
+    return rows.select("cid", "v").mapInArrow(lean(run), "cid long, v array<double>, keys array<long>")
 
 
-def nearest_in(data: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def nearest_in(
+    data: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, turn: int = Settings().turn
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its k best rows, ties to the smaller id. A matrix product
-    finds them; the scores are then summed row by row, so that a pair has one score everywhere."""
-    rough = asked @ data.T
-    for i in range(len(asked)):
-        if len(data) > k:
-            bar = np.partition(rough[i], len(data) - k)[len(data) - k]
-            at = np.flatnonzero(rough[i] >= bar - 1e-9 * (1 + abs(bar)))
-        else:
-            at = np.arange(len(data))
-        score = (data[at] * asked[i]).sum(1)
-        order = np.lexsort((ids[at], -score))[:k]
-        yield ids[at][order], score[order]
+    finds them, for `turn` queries at a time; the scores are then summed row by row, so that a pair
+    has one score everywhere."""
+    for begin in range(0, len(asked), turn):
+        some = asked[begin : begin + turn]
+        rough = some @ data.T
+        for i in range(len(some)):
+            if len(data) > k:
+                bar = np.partition(rough[i], len(data) - k)[len(data) - k]
+                at = np.flatnonzero(rough[i] >= bar - 1e-9 * (1 + abs(bar)))
+            else:
+                at = np.arange(len(data))
+            score = (data[at] * some[i]).sum(1)
+            order = np.lexsort((ids[at], -score))[:k]
+            yield ids[at][order], score[order]
+
+
+def dealt(data: DataFrame, asked: DataFrame, settings: Settings) -> DataFrame:
+    """(key, part, turn, asks, cid, v): the rows of each key dealt over parts of about `block` and its
+    queries over turns of about `queries`; each part of a key meets each of its turns. Both
+    sides have cid, v and keys.
+
+    Keys that need this are few, at most one per `block` entries, so they are sent to all tasks and
+    rows are copied where they are: those of a hot key never come together before they are dealt.
+    """
+    left = data.select(F.explode("keys").alias("key"), F.lit(0).alias("asks"), "cid", "v")
+    right = asked.select(F.explode("keys").alias("key"), F.lit(1).alias("asks"), "cid", "v")
+    sizes = left.select("key", "asks").unionByName(right.select("key", "asks")).groupBy("key")
+    crowds = sizes.agg(F.sum(1 - F.col("asks")).alias("rows"), F.sum("asks").alias("queries"))
+    crowds = crowds.select(
+        "key", F.ceil(F.col("rows") / settings.block).cast("int").alias("parts"),
+        F.ceil(F.col("queries") / settings.queries).cast("int").alias("turns"),
+    ).filter("parts > 1 or turns > 1")
+    crowds = settle_table(crowds.filter("parts > 0 and turns > 0"), "crowds")
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """One of the `own` numbers by the id, and every one of the others."""
+        rows = attach(rows, crowds, ["key"], settled=True)
+        parts, copies = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in (f"{own}s", f"{other}s"))
+        return rows.select(
+            "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), copies - 1)).alias(other), "asks", "cid", "v",
+        )
+
+    return spread(left, "part", "turn").unionByName(spread(right, "turn", "part"))
 
 
 def searched(data: DataFrame, asked: DataFrame, k: int, settings: Settings) -> DataFrame:
     """(q, cid, score): the k best of each query among the data rows of equal key. Both sides have
-    cid, v and key. Keys of more than `block` rows are dealt over parts, and queries go to each."""
-    sizes = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("parts"))
-    many = sizes.filter("parts > 1")
-    left = data.join(many, "key", "left").select(
-        "key", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
-        F.lit(0).alias("asks"), "cid", "v",
-    )
-    # Only buckets that exist are visited.
-    right = asked.join(sizes, "key").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "cid", "v"
-    )
-    both = left.unionByName(right).repartition("key", "part").sortWithinPartitions("key", "part", "asks")
+    cid, v and keys."""
+    both = dealt(data, asked, settings).repartition("key", "part", "turn")
+    both = both.select("key", "part", "turn", "asks", "cid", "v").sortWithinPartitions("key", "part", "turn", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, 2):
-            key, part, asks, cid = (table.column(c).to_numpy() for c in range(4))
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
+        for table in sorted_groups(batches, 3):
+            key, part, turn, asks, cid = (table.column(c).to_numpy() for c in range(5))
+            new = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (turn[1:] != turn[:-1])
+            cuts = np.flatnonzero(np.r_[True, new, True])
             best: dict[int, list] = {}
             for begin, end in zip(cuts, cuts[1:], strict=False):
-                turn = begin + int(np.searchsorted(asks[begin:end], 1))
-                if turn == begin or turn == end:
+                first = begin + int(np.searchsorted(asks[begin:end], 1))
+                if first == begin or first == end:
                     continue
-                x, q = matrix(table.column(4).slice(begin, turn - begin)), matrix(table.column(4).slice(turn, end - turn))
-                for name, got in zip(cid[turn:end], nearest_in(x, cid[begin:turn], q, k), strict=True):
+                x, q = matrix(table.column(5).slice(begin, first - begin)), matrix(table.column(5).slice(first, end - first))
+                for name, got in zip(cid[first:end], nearest_in(x, cid[begin:first], q, k, settings.turn), strict=True):
                     best.setdefault(int(name), []).append(got)
             yield from listed(best, k)
 
@@ -262,12 +291,13 @@ def search(
     usual = max(set(widths), key=widths.count) if widths else 1
     count = tuned(np.array([r["v"] for r in sample if r["d"] == usual] or [[1.0]]), longest, k, settings)
     data = hashed(classes, longest, count, settings, False)
-    found = settle_table(searched(data, hashed(asked, longest, count, settings, True), k + 1, settings), "found")
+    probing = settle_table(hashed(asked, longest, count, settings, True), "probing")
+    found = settle_table(searched(data, probing, k + 1, settings), "found")
     enough = found.join(classes.select("cid", F.size("ids").alias("m")), "cid").groupBy("q").agg(F.sum("m").alias("m"))
     short = asked.join(enough.filter(F.col("m") > min(k, total)), asked["cid"] == enough["q"], "left_anti")
     if not short.isEmpty():
-        same = [F.xxhash64(F.size("v")).alias("key")]
-        every = searched(classes.select("cid", "v", *same), short.select("cid", "v", *same), k + 1, settings)
+        same = F.array(F.xxhash64(F.size("v"))).alias("keys")
+        every = searched(classes.select("cid", "v", same), short.select("cid", "v", same), k + 1, settings)
         found = found.join(short.select(F.col("cid").alias("q")), "q", "left_anti").unionByName(every)
     # From classes back to rows: the ids of each class, without the query itself.
     pairs = found.join(classes.select("cid", "ids"), "cid").select("q", F.explode("ids").alias(vec_id), "score")

@@ -224,6 +224,44 @@ def test_neighbours(spark):
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("width", [1.0, 1e6])  # of that width all vectors fall into one bucket
+def test_neighbours_of_a_crowded_bucket(spark, width):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    settings = neighbours.Settings(width=width, block=32, queries=16, turn=5)
+    got = neighbours.search(df, F.col("vec_id") % 2 == 0, 10, settings=settings).collect()
+    assert len(got) == 150 * 10
+    for q in range(0, 300, 2) if width > 1 else ():
+        best = sorted(((-(x[q] * x[k]).sum(), k) for k in range(300) if k != q))[:10]
+        assert [k for _, k in best] == [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+
+
+def test_queries_of_a_crowded_bucket_are_dealt(spark):
+    rows = spark.range(1200).selectExpr("id cid", "array(1D * id, 1D) v", "array(7L, 1000 + id) keys")
+    asked = rows.filter("cid < 900")
+    got = neighbours.dealt(rows, asked, neighbours.Settings(block=200, queries=100)).filter("key = 7")
+    groups = got.groupBy("key", "part", "turn").pivot("asks", [0, 1]).count().collect()
+    assert len(groups) == 6 * 9 and max(g["0"] for g in groups) < 300 and max(g["1"] for g in groups) < 160
+    pairs = got.filter("asks = 0").select("part", "turn", "cid").join(
+        got.filter("asks = 1").selectExpr("part", "turn", "cid q"), ["part", "turn"])
+    assert pairs.count() == pairs.select("cid", "q").distinct().count() == 1200 * 900
+
+
+def test_queries_are_compared_in_turns():
+    import tracemalloc
+
+    random_ = np.random.default_rng(6)
+    data, asked = random_.normal(size=(2000, 4)), random_.normal(size=(5000, 4))
+    tracemalloc.start()
+    got = list(neighbours.nearest_in(data, np.arange(2000), asked, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000  # one matrix of all pairs has 80 MB
+    assert all((got[i][0] == np.argsort(-(data @ asked[i]))[:3]).all() for i in range(0, 5000, 500))
+
+
 def test_classifiers(spark):
     rows = [(k, f"{words(k, 30)} {'grob' if k % 3 == 0 else ''} {words(k + 999, 9)}", "de" if k % 2 else "en") for k in range(300)]
     rows = [(k, t.replace("a", "ü") if lang == "de" else t, lang) for k, t, lang in rows] + [(900, None, None), (901, "", "de"), (902, "12 !", "en")]
