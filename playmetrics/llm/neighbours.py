@@ -294,7 +294,10 @@ def search(
     probing = settle_table(hashed(asked, longest, count, settings, True), "probing")
     found = settle_table(searched(data, probing, k + 1, settings), "found")
     enough = found.join(classes.select("cid", F.size("ids").alias("m")), "cid").groupBy("q").agg(F.sum("m").alias("m"))
-    short = asked.join(enough.filter(F.col("m") > min(k, total)), asked["cid"] == enough["q"], "left_anti")
+    # A query needs k other rows, or all others of its dimension; what it met may hold itself.
+    held = classes.groupBy(F.size("v").alias("d")).agg(F.sum(F.size("ids")).alias("held"))
+    needed = attach(asked.withColumn("d", F.size("v")), held, ["d"]).join(enough, F.col("cid") == F.col("q"), "left")
+    short = needed.filter(F.coalesce("m", F.lit(0)) <= F.least(F.lit(k), F.col("held") - 1)).select("cid", "v")
     if not short.isEmpty():
         same = F.array(F.xxhash64(F.size("v"))).alias("keys")
         every = searched(classes.select("cid", "v", same), short.select("cid", "v", same), k + 1, settings)

@@ -238,6 +238,18 @@ def test_neighbours_of_a_crowded_bucket(spark, width):
         assert [k for _, k in best] == [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
 
 
+def test_neighbours_among_few_vectors_with_copies(spark):
+    x = [[1.0, 0.0]] * 12 + [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(1, 5, 9)]
+    df = spark.createDataFrame(list(enumerate([*x, [0.5, 0.5, 0.5]])), "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    # The query meets its copies, more rows than there are different vectors, and nothing else.
+    settings = neighbours.Settings(tables=1, probes=1, width=1e-3)
+    got = neighbours.search(df, F.col("vec_id") == 0, 20, settings=settings).orderBy("rank").collect()
+    assert {r["vec_id"] for r in got} == set(range(1, 21)) and len(got) == 20
+    assert [r["vec_id"] for r in got[:11]] == list(range(1, 12))
+
+
 def test_queries_of_a_crowded_bucket_are_dealt(spark):
     rows = spark.range(1200).selectExpr("id cid", "array(1D * id, 1D) v", "array(7L, 1000 + id) keys")
     asked = rows.filter("cid < 900")
