@@ -24,11 +24,10 @@ UNDETERMINED = "und"
 
 
 class Settings(NamedTuple):
-    """At most `texts` labelled texts per language are learned from, each by `windows` stretches of
-    `steps` bytes spread over it. Texts are read in segments of `segment` bytes, all of them."""
+    """At most `texts` labelled texts per language are learned from, all of their bytes, in stretches
+    of `steps`. Texts are read in segments of `segment` bytes, all of them."""
 
     texts: int = 400
-    windows: int = 3
     steps: int = 64
     units: int = 8
     batch: int = 128
@@ -204,9 +203,10 @@ def distributions(model: Model, texts: pa.Array, settings: Settings) -> np.ndarr
 
 
 def windows(text: bytes, settings: Settings) -> Iterator[bytes]:
+    """Stretches of equal length that cover the whole text: the last one ends with it and may
+    overlap the one before, a shorter text is filled up with blanks."""
     room = max(0, len(text) - settings.steps)
-    for k in range(settings.windows if room else 1):
-        at = room * k // max(1, settings.windows - 1)
+    for at in (*range(0, room, settings.steps), room):
         yield text[at : at + settings.steps].ljust(settings.steps)
 
 

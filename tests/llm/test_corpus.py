@@ -274,6 +274,15 @@ def test_queries_are_compared_in_turns():
     assert all((got[i][0] == np.argsort(-(data @ asked[i]))[:3]).all() for i in range(0, 5000, 500))
 
 
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 128, 1000])
+def test_language_learns_from_whole_texts(size):
+    text = random.Random(8).randbytes(size)
+    got = list(language.windows(text, language.Settings(steps=64)))
+    assert {len(w) for w in got} == {64} and len(got) == max(1, -(-size // 64))
+    rest = size - 64 * (len(got) - 1)
+    assert b"".join(got[:-1]) + (got[-1][-rest:] if len(got) > 1 else got[0][:size]) == text
+
+
 def test_classifiers(spark):
     rows = [(k, f"{words(k, 30)} {'grob' if k % 3 == 0 else ''} {words(k + 999, 9)}", "de" if k % 2 else "en") for k in range(300)]
     rows = [(k, t.replace("a", "ü") if lang == "de" else t, lang) for k, t, lang in rows] + [(900, None, None), (901, "", "de"), (902, "12 !", "en")]
