@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetrics.llm import (
+    alignment,
     extraction,
     language,
     neighbours,
@@ -84,11 +85,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_neighbours, op3_similar, op4_extraction, op5_toxicity, op6_language, op7_sentencepieces,
-        op8_suffixes, op9_quality, op10_packing,
+        op8_suffixes, op9_quality, op10_packing, op13_alignment,
     )
 }
 
