@@ -18,6 +18,7 @@ from playmetrics.llm import (
     similar,
     suffixes,
     toxicity,
+    trie,
     warc,
 )
 from playmetrics.llm.common import read
@@ -85,6 +86,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     return alignment.align(read(spark, sf_dir, "documents"), a, b)
@@ -94,7 +99,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_neighbours, op3_similar, op4_extraction, op5_toxicity, op6_language, op7_sentencepieces,
-        op8_suffixes, op9_quality, op10_packing, op13_alignment,
+        op8_suffixes, op9_quality, op10_packing, op12_trie, op13_alignment,
     )
 }
 
@@ -147,4 +152,44 @@ SQL: dict[str, str] = {
             END AS kept
         FROM base
     """,
+    "op12_trie": """
+        WITH own AS (
+            SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+                sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS k FROM own
+        ), convs AS (
+            -- CRC-32 bit by bit: after each byte of the id, eight steps (-1)
+            SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+                list_prepend(4294967295, flatten([list_prepend(ord(x), [-1, -1, -1, -1, -1, -1, -1, -1]) for x in string_split(CAST(c AS VARCHAR), '')])),
+                lambda r, o: CASE WHEN o >= 0 THEN xor(CAST(r AS BIGINT), CAST(o AS BIGINT))
+                    ELSE xor(CAST(r AS BIGINT) >> 1, 3988292384 * (CAST(r AS BIGINT) & 1)) END)) % 6 AS h
+            FROM (SELECT DISTINCT c FROM numbered)
+        ), turns AS (
+            SELECT v.c, 0 AS part, k, key, text FROM convs v JOIN numbered n ON n.c = v.base AND n.k <= v.h
+            UNION ALL
+            SELECT v.c, 1 AS part, k, key, text FROM convs v JOIN numbered n ON n.c = v.c AND n.k > v.h
+        ), steps AS (
+            SELECT c, row_number() OVER w AS d, string_agg(key, '') OVER w AS p, length(text) AS chars FROM turns
+            WINDOW w AS (PARTITION BY c ORDER BY part, k)
+            UNION ALL
+            SELECT c, 0, '', 0 FROM convs
+        ), sized AS (
+            SELECT *, max(d) OVER (PARTITION BY c) AS size FROM steps
+        ), nodes AS (
+            SELECT p, d, left(p, 64 * (d - 1)) AS q, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(chars) AS saved,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = size), '')) AS ends
+            FROM sized GROUP BY p, d
+        ), children AS (
+            SELECT q, count(*) AS n FROM nodes WHERE d > 0 GROUP BY q
+        ), sums AS (
+            SELECT left(x.p, 64 * i) AS p, count(*) FILTER (WHERE k.q IS NULL) AS n_leaves, sum(x.saved) AS saved
+            FROM nodes x LEFT JOIN children k ON k.q = x.p, unnest(range(0, x.d + 1)) AS r(i) GROUP BY 1
+        )
+        SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children,
+            s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+        FROM nodes x JOIN sums s ON s.p = x.p LEFT JOIN children k ON k.q = x.p
+            LEFT JOIN nodes u ON x.d > 0 AND u.p = x.q AND u.d = x.d - 1
+    """,
 }
