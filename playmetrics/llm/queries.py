@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from playmetrics.llm import (
     alignment,
     extraction,
+    grid,
     language,
     neighbours,
     packing,
@@ -86,6 +87,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.join(read(spark, sf_dir, "embeddings"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(read(spark, sf_dir, "conversations"))
 
@@ -99,7 +104,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_neighbours, op3_similar, op4_extraction, op5_toxicity, op6_language, op7_sentencepieces,
-        op8_suffixes, op9_quality, op10_packing, op12_trie, op13_alignment,
+        op8_suffixes, op9_quality, op10_packing, op11_grid, op12_trie, op13_alignment,
     )
 }
 
@@ -152,6 +157,26 @@ SQL: dict[str, str] = {
             END AS kept
         FROM base
     """,
+    "op11_grid": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+                AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in embedding])
+                AND list_bool_or([x <> 0 for x in embedding])
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END
+        ), reached AS (
+            SELECT vec_id, vec_id AS other FROM embeddings
+            UNION
+            SELECT r.vec_id, l.v FROM reached r JOIN links l ON l.u = r.other
+        ), parts AS (
+            SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+        )
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+        FROM embeddings e JOIN parts p ON p.vec_id = e.vec_id
+            LEFT JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY u) n ON n.u = e.vec_id
+    """,
     "op12_trie": """
         WITH own AS (
             SELECT conv_id AS c, turn, coalesce(text, '') AS text,
