@@ -27,6 +27,7 @@ from playmetrics.functions.scalars import feature_category, shrunk_probability
 from playmetrics.operators.ordered import number_rows
 from playmetrics.operators.relational import drop_missing
 from playmetrics.operators.sizing import settle
+from playmetrics.plans import trees
 
 TARGET = "home_win"
 
@@ -157,10 +158,10 @@ def fit_model(train: DataFrame, name: str, features: Sequence[str] = MATCHUP_FEA
 
 
 def fit_best(
-    train: DataFrame, folds: int | None = 3, features: Sequence[str] = MATCHUP_FEATURES
+    train: DataFrame, folds: int | None = 3, features: Sequence[str] = MATCHUP_FEATURES, most_fits: int = 1_000
 ) -> tuple[str, PipelineModel]:
-    """The most accurate model by name, fitted on all rows."""
-    validated = cross_validate(train, folds, features=features)
+    """The most accurate model by name, fitted on all rows. `most_fits` bounds leave-one-out."""
+    validated = cross_validate(train, folds, features=features, most_fits=most_fits)
     best = accuracy_table(train.sparkSession, validated).first()["model"]
     return best, validated.bestModel
 
@@ -344,19 +345,24 @@ def replacement_contributions(
 ) -> DataFrame:
     """Percentage points the home probability loses when one feature takes its training mean.
 
-    A linear model's margin is shifted. A tree model is applied once per feature to a changed
-    copy of the columns, side by side in the same row. No rows are multiplied and nothing is
-    shuffled.
+    A linear model's margin is shifted. A tree model is compiled to one expression, and a replaced feature reads only
+    the trees that split on it again. No rows are multiplied and nothing is shuffled.
     """
     line = line_of(model, features)
     if line is not None:
         return shifted_contributions(df, line, means, alias)
-    own = {f: f"__own_{f}" for f in features}
-    result = scored(df.withColumns({f: F.col(f).cast("double") for f in features}), model, "__base")
-    result = result.withColumns({kept: F.col(f) for f, kept in own.items()})
-    for f in features:
-        changed = result.withColumn(f, F.lit(means[f]))
-        result = scored(changed, model, f"__without_{f}").withColumn(f, F.col(own[f]))
-    parts = {f: (F.col("__base") - F.col(f"__without_{f}")) * 100 for f in features}
-    result = result.withColumn(alias, contribution_array(parts))
-    return result.drop("__base", *own.values(), *[f"__without_{f}" for f in features])
+    return tree_contributions(df, trees.ensemble_of(model, features), means, alias, features)
+
+
+def tree_contributions(
+    df: DataFrame,
+    ensemble: trees.Ensemble,
+    means: dict[str, float],
+    alias: str = "contributions",
+    features: Sequence[str] = MATCHUP_FEATURES,
+) -> DataFrame:
+    """The same for compiled trees."""
+    names = {f: f"__without_{f}" for f in features}
+    rows = trees.replaced(df, ensemble, means, "__base", names)
+    parts = {f: (F.col("__base") - F.col(name)) * 100 for f, name in names.items()}
+    return rows.withColumn(alias, contribution_array(parts)).drop("__base", *names.values())
