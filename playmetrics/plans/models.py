@@ -227,18 +227,21 @@ def scored(df: DataFrame, model: PipelineModel, alias: str = "home_prob") -> Dat
 
 def predictions(df: DataFrame, model: PipelineModel, shrink: bool = False) -> DataFrame:
     """Probabilities, predicted winner and confidence per game; `correct` where the winner is known."""
-    rated = scored(df, model, "__home")
-    home = shrunk_probability("__home") if shrink else F.col("__home")
+    return winners_of(scored(df, model, "__home"), F.col("__home"), shrink).drop("__home")
+
+
+def winners_of(rated: DataFrame, home_prob: Column, shrink: bool = False) -> DataFrame:
+    """The same for games that have their probability."""
+    home = shrunk_probability(home_prob) if shrink else home_prob
     winner = F.when(F.col("predicted_home_prob") > 0.5, F.col("home_team")).otherwise(F.col("away_team"))
-    probabilities = rated.withColumn("predicted_home_prob", home).drop("__home")
-    result = probabilities.withColumns(
+    result = rated.withColumn("predicted_home_prob", home).withColumns(
         {
             "predicted_away_prob": 1 - F.col("predicted_home_prob"),
             "predicted_winner": winner,
             "confidence": F.greatest("predicted_home_prob", 1 - F.col("predicted_home_prob")),
         }
     )
-    if "winner" in df.columns:
+    if "winner" in rated.columns:
         result = result.withColumn("correct", F.col("predicted_winner") == F.col("winner"))
     return result
 

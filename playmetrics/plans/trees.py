@@ -73,17 +73,22 @@ def node_table(model: PipelineModel, features: Sequence[str] = MATCHUP_FEATURES)
     names = F.array(*[F.lit(f) for f in features])
     stats, split = F.col("nodeData.impurityStats"), F.col("nodeData.split")
     inner = F.col("nodeData.leftChild") >= 0
-    share = stats[1] / F.aggregate(stats, F.lit(0.0), lambda s, x: s + x)
-    value = F.col("nodeData.prediction") if link_of(model) == LOGISTIC else share
+    value, weight = F.col("nodeData.prediction"), F.col("weight")
+    if link_of(model) == MEAN:
+        # A forest's tree whose sample came out empty has no say.
+        seen = F.aggregate(stats, F.lit(0.0), lambda s, x: s + x)
+        value, weight = F.when(seen > 0, stats[1] / seen).otherwise(0.0), F.when(F.col("__seen") > 0, weight).otherwise(0.0)
+        data = data.withColumn("__seen", seen)
     # A weight per tree: far fewer rows than nodes.
-    named = weights.select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
-    return data.select(
+    named = weights.select(F.col("_1").alias("treeID"), F.col("_3").alias("weight"))
+    return data.join(named, "treeID").select(
         F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"),
         F.when(inner, F.get(names, split["featureIndex"])).alias("feature"),
         F.when(inner, F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
         F.when(inner, F.col("nodeData.leftChild")).alias("left"), F.when(inner, F.col("nodeData.rightChild")).alias("right"),
-        value.alias("value"), F.when(inner, F.col("nodeData.gain")).alias("gain"), F.col("nodeData.rawCount").alias("rows"),
-    ).join(named, "tree").select("tree", "node", "feature", "threshold", "left", "right", "value", "weight", "gain", "rows")
+        value.alias("value"), weight.alias("weight"), F.when(inner, F.col("nodeData.gain")).alias("gain"),
+        F.col("nodeData.rawCount").alias("rows"),
+    )
 
 
 def ensemble(nodes: DataFrame, link: str) -> Ensemble:
