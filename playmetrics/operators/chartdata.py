@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from playmetrics.functions.measures import guarded_corr
 from playmetrics.operators.grouped import linear_quantiles
 from playmetrics.operators.ordered import names
-from playmetrics.operators.sizing import attach, settle
+from playmetrics.operators.sizing import attach, settle, settle_table
 
 
 def line_fit(x: str, y: str) -> Column:
@@ -93,50 +94,106 @@ def histogram(
     df: DataFrame, value: str, bins: int = 30, group: str | Sequence[str] | None = None
 ) -> DataFrame:
     """Rows per bin. The bins are equal between the smallest and the largest value, the last
-    one closed; with a single distinct value there is one bin."""
+    one closed; with a single distinct value there is one bin.
+
+    The input is read once, to count its values; the range and the bins come from the counts.
+    """
     keys = names(group)
-    known = df.filter(F.col(value).isNotNull())
-    ends = F.struct(
-        F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high")
-    )
-    with_ends = known.withColumn("__ends", known.agg(ends.alias("__ends")).scalar())
-    low, high = F.col("__ends")["low"], F.col("__ends")["high"]
-    bucket = F.width_bucket(F.col(value).cast("double"), low, high, F.lit(bins))
-    number = F.when(low < high, F.least(bucket, F.lit(bins))).otherwise(F.lit(1))
+    known = df.select(*keys, F.col(value).alias("__value")).filter("__value IS NOT NULL")
+    counts = settle_table(known.groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n")), "values")
+    number = F.col("__value").cast("double")
+    ends = counts.agg(F.min("__value").cast("double").alias("low"), F.max("__value").cast("double").alias("high")).first()
+    low, high = F.lit(ends["low"]).cast("double"), F.lit(ends["high"]).cast("double")
     width = (high - low) / bins
-    binned = with_ends.select(
-        *keys, number.cast("int").alias("bin"), low.alias("__low"), width.alias("__width")
-    )
-    return (
-        binned.groupBy(*keys, "bin")
-        .agg(
-            F.min(F.col("__low") + (F.col("bin") - 1) * F.col("__width")).alias("bin_start"),
-            F.min(F.col("__low") + F.col("bin") * F.col("__width")).alias("bin_end"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+    bucket = F.least(F.width_bucket(number, low, high, F.lit(bins)), F.lit(bins))
+    binned = counts.select(*keys, F.when(low < high, bucket).otherwise(F.lit(1)).cast("int").alias("bin"), "__n")
+    found = binned.groupBy(*keys, "bin").agg(F.sum("__n").alias("rows"))
+    return found.select(
+        *keys, "bin", (low + (F.col("bin") - 1) * width).alias("bin_start"), (low + F.col("bin") * width).alias("bin_end"), "rows"
     )
 
 
+# Columns whose presence one long records.
+FLAGS = 60
+
+
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What correlations need, per pair of columns and set of columns that a row has: pair, n, mean_x, mean_y, xx,
+    yy, xy (sums of squared and mixed deviations from the means), min_x, max_x, min_y, max_y.
+
+    One aggregate, whose groups are the sets of known columns: inside a set every pair is complete, so means,
+    ranges and squares are kept once per column and a pair needs a single sum of products. Rows of this table
+    can be merged with `merged_moments`, from any number of tables.
+    """
+    given = [F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)]
+    words = range(-(-len(columns) // FLAGS))
+    sets = [
+        reduce(
+            lambda a, b: a + b,
+            [F.when(F.col(c).isNotNull(), 1 << (i % FLAGS)).otherwise(0).cast("long") for i, c in enumerate(columns) if i // FLAGS == w],
+        ).alias(f"__set{w}")
+        for w in words
+    ]
+    rows = df.select(*given, *sets)
+    one = {i: F.col(f"__c{i}") for i in range(len(columns))}
+    pairs = list(combinations(one, 2))
+    figures = [F.count(F.lit(1)).alias("n")]
+    for i, c in one.items():
+        figures += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"), F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}")]
+    figures += [F.covar_pop(one[i], one[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    table = rows.groupBy(*[f"__set{w}" for w in words]).agg(*figures)
+
+    def known(i: int) -> Column:
+        return F.col(f"m{i}").isNotNull()
+
+    def figures_of(i: int, j: int) -> Column:
+        n = F.col("n").cast("double")
+        return F.struct(
+            F.lit(i * len(columns) + j).alias("pair"), n.alias("n"),
+            F.col(f"m{i}").alias("mean_x"), F.col(f"m{j}").alias("mean_y"),
+            (F.col(f"v{i}") * n).alias("xx"), (F.col(f"v{j}") * n).alias("yy"),
+            (F.col(f"v{i}" if i == j else f"p{i}_{j}") * n).alias("xy"),
+            F.col(f"low{i}").alias("min_x"), F.col(f"high{i}").alias("max_x"),
+            F.col(f"low{j}").alias("min_y"), F.col(f"high{j}").alias("max_y"),
+        )
+
+    cells = [F.when(known(i) & known(j), figures_of(i, j)) for i, j in [*pairs, *((i, i) for i in one)]]
+    return table.select(F.inline(F.array_compact(F.array(*cells))))
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """One row per pair from all its parts: deviations are moved to the mean of the whole."""
+    pair = W.partitionBy("pair")
+    whole = F.sum("n").over(pair)
+    placed = parts.withColumns(
+        {"__x": F.col("mean_x") - F.sum(F.col("n") * F.col("mean_x")).over(pair) / whole,
+         "__y": F.col("mean_y") - F.sum(F.col("n") * F.col("mean_y")).over(pair) / whole}
+    )
+    n, x, y = F.col("n"), F.col("__x"), F.col("__y")
+    return placed.groupBy("pair").agg(
+        F.sum(n).alias("n"), F.sum(F.col("xx") + n * x * x).alias("xx"), F.sum(F.col("yy") + n * y * y).alias("yy"),
+        F.sum(F.col("xy") + n * x * y).alias("xy"), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
+        F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"),
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlations over pairwise complete rows in long form, from a single aggregate.
+    """Correlations over pairwise complete rows in long form, from a single aggregate over the rows.
 
-    The diagonal is 1 for a column that varies, as a correlation with itself is.
+    NULL if a side is constant over the pair's rows, or there are none. The diagonal is 1 for a column
+    that varies, as a correlation with itself is.
     """
-    pairs = list(combinations(columns, 2))
-    own = {c: F.when(F.min(c) < F.max(c), F.lit(1.0)) for c in columns}
-    figures = df.agg(
-        *[guarded_corr(a, b).alias(f"{a}|{b}") for a, b in pairs],
-        *[one.alias(f"{c}|{c}") for c, one in own.items()],
-    )
-    cells = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs]
-    cells += [(c, c, f"{c}|{c}") for c in columns]
-    entries = F.array(
-        *[
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{c}`").alias("correlation"))
-            for a, b, c in cells
-        ]
-    )
-    return figures.select(F.inline(entries))
+    k = len(columns)
+    moments = merged_moments(co_moments(df, columns))
+    varies = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
+    own = F.col("pair") % (k + 1) == 0
+    value = F.when(own, F.lit(1.0)).otherwise(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))
+    found = moments.select("pair", F.when(varies, value).alias("correlation"))
+    cells = [(i, j, min(i, j) * k + max(i, j)) for i in range(k) for j in range(k)]
+    rows = [(columns[i], columns[j], pair) for i, j, pair in cells]
+    # As many rows as the matrix has cells.
+    matrix = df.sparkSession.createDataFrame(rows, "x string, y string, pair int")
+    return matrix.join(F.broadcast(found), "pair", "left").select("x", "y", "correlation")
 
 
 def series(df: DataFrame, x: str, y: str, group: str | list[str] | None = None) -> DataFrame:

@@ -174,17 +174,15 @@ def with_windows(
 ) -> DataFrame:
     """Add window measures; each gets the ordered window of its group and returns a column.
 
-    A frame is worked through anew for each row, so wide frames lower the size at which
-    groups split.
+    A frame is worked through anew for each row, so this is for narrow ones.
     """
 
     def add(part: DataFrame, partition: list[str], order: Order) -> DataFrame:
         spec = W.partitionBy(*partition).orderBy(*order)
         return part.withColumns({a: measure(spec) for a, measure in measures.items()})
 
-    limit = max(group_limit // max((before + after) // 10, 1), 1)
     return with_frames(
-        df, add, partition_by, order_by, before=before, after=after, group_limit=limit
+        df, add, partition_by, order_by, before=before, after=after, group_limit=group_limit
     )
 
 
@@ -226,10 +224,21 @@ def cumulative_epa(
 # --- rolling measures --------------------------------------------------------------
 
 
-def rolling_mean(value: Column, rows: int, spec: WindowSpec, min_values: int = 10) -> Column:
-    """Mean of the last `rows` rows, NULL with fewer than `min_values` values among them."""
-    frame = spec.rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(frame) >= min_values, F.avg(value).over(frame))
+# What is not a finite number is counted apart from the sums, in fields of one long.
+NAN, UP, DOWN = 1, 1 << 20, 1 << 40
+
+
+def odd_value(value: Column) -> Column:
+    infinite = F.lit(float("inf"))
+    kind = F.when(F.isnan(value), NAN).when(value == infinite, UP).when(value == -infinite, DOWN).otherwise(0)
+    return F.when(value.isNotNull(), kind).otherwise(0).cast("long")
+
+
+def mean_of(total: Column, count: Column, odd: Column) -> Column:
+    """The mean that adding up the values themselves would give."""
+    nan, up, down = (F.shiftright(odd, 20 * k) % (1 << 20) > 0 for k in range(3))
+    mixed = F.when(nan | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf")))
+    return F.when(odd > 0, mixed.otherwise(F.lit(float("-inf")))).otherwise(F.try_divide(total, count))
 
 
 def rolling(
@@ -242,14 +251,46 @@ def rolling(
     min_values: int = 10,
     **options,
 ) -> DataFrame:
-    return with_windows(
-        df,
-        {alias: lambda spec: rolling_mean(value, window_size, spec, min_values)},
-        partition_by,
-        order_by,
-        before=window_size - 1,
-        **options,
-    )
+    """Mean of the last `window_size` rows, NULL with fewer than `min_values` values among them.
+
+    Rows are cut into runs of the window's length. A window is the begin of one run and the end of
+    the one before it, and the end is the run's sum less that of its begin: one step per row, whatever
+    the window. Sums never reach over more than a run, so no error builds up along a group.
+    """
+    made = ["__value", "__odd", "__nth", "__run", "__begin", "__rest", "__before"]
+    if window_size >= UP:
+        raise ValueError(f"a window of {window_size} rows; {UP - 1} at most")
+
+    def add(part: DataFrame, partition: list[str], order: Order) -> DataFrame:
+        run = W.partitionBy(*partition, "__run").orderBy("__nth")
+        to_here = run.rowsBetween(W.unboundedPreceding, 0)
+        whole = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        number = value.cast("double")
+        nth = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
+        rows = part.withColumns({"__odd": odd_value(number), "__value": number, "__nth": nth})
+        rows = rows.withColumn("__value", F.when(F.col("__odd") == 0, F.col("__value")))
+        rows = rows.withColumn("__run", F.floor((F.col("__nth") - 1) / window_size))
+
+        def figures(frame: WindowSpec) -> list[Column]:
+            known = F.col("__value").isNotNull() | (F.col("__odd") > 0)
+            sums = F.coalesce(F.sum("__value").over(frame), F.lit(0.0))
+            return [sums, F.sum(known.cast("long")).over(frame), F.sum("__odd").over(frame)]
+
+        begin, total = figures(to_here), figures(whole)
+        names_ = ("sum", "n", "odd")
+        rows = rows.withColumns(
+            {
+                "__begin": F.struct(*[b.alias(n) for b, n in zip(begin, names_, strict=True)]),
+                "__rest": F.struct(*[(t - b).alias(n) for t, b, n in zip(total, begin, names_, strict=True)]),
+            }
+        )
+        # The same order as the runs' own, so nothing is sorted again.
+        along = W.partitionBy(*partition).orderBy("__run", "__nth")
+        rows = rows.withColumn("__before", F.lag("__rest", window_size).over(along))
+        total, count, odd = (F.col("__begin")[n] + F.coalesce(F.col("__before")[n], F.lit(0)) for n in names_)
+        return rows.withColumn(alias, F.when(count >= min_values, mean_of(total, count, odd))).drop(*made)
+
+    return with_frames(df, add, partition_by, order_by, before=window_size - 1, **options)
 
 
 def rolling_epa(df, partition_by, order_by, window_size: int = 50, **options) -> DataFrame:

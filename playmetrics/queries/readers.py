@@ -21,6 +21,7 @@ SEASONS = [1993, 1994, 1995, 1996]
 WANTED = f"season IN ({', '.join(map(str, SEASONS))})"
 PLAY_COLUMNS = [*PLAY_ORDER, "season", "posteam", "play_type", "epa"]
 GAME_COLUMNS = ["game_id", "season", "game_type", "home_team", "away_team", "home_score", "away_score"]
+ROSTER_COLUMNS = schemas.column_names(schemas.ROSTER)
 RATING_COLUMNS = ["season", "player_name", "position", "team", "overall"]
 
 
@@ -46,6 +47,21 @@ def load_players(spark, sf_dir):
     return tables.load_players(spark, path)
 
 
+@query(
+    "load_rosters",
+    "SELECT player_name AS Player, position AS Pos, overall AS OVR, nullif(team, '') AS team FROM ratings",
+    ["ratings"],
+)
+def load_rosters(spark, sf_dir):
+    """A CSV folder per team; the team comes back from the folder's name."""
+    path = scratch_path(spark, "rosters")
+    named = {"Player": "player_name", "Pos": "position", "OVR": "overall"}
+    kept = [F.col(named[c]) if c in named else F.lit(None).cast("int") for c in ROSTER_COLUMNS]
+    rows = surrogate.ratings(spark, sf_dir).select(*[k.alias(c) for k, c in zip(kept, ROSTER_COLUMNS, strict=True)], "team")
+    sinks.write_rosters(rows, path)
+    return tables.load_team_rosters(spark, path).select("Player", "Pos", "OVR", "team")
+
+
 @query(
     "load_tracking_stats",
     f"SELECT passer_id, season, attempts, avg_air_yards FROM stats WHERE {WANTED}",

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from playmetrics.functions.codes import MATCHUP_FEATURES
 
-
-
 PLAYS = """
     game_id string, play_id int, season int, week int, season_type string, play_type string,
     posteam string, defteam string, passer_id string, passer string, name string,
@@ -42,3 +40,7 @@ PREDICTIONS = """
 """ + ", ".join(f"contrib_{f} double" for f in MATCHUP_FEATURES)
 
 IMPORTANCE = "feature string, importance double, importance_pct double"
+
+
+def column_names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(",")]

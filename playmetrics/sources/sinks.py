@@ -7,9 +7,14 @@ holds a third of all rows into many tasks, and put small seasons together.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playmetrics.sources import schemas
+from playmetrics.sources.tables import KEEP_BLANKS
+
 
 def by_season(df: DataFrame, season: str) -> DataFrame:
     return df.hint("rebalance", season)
@@ -24,7 +29,8 @@ def write_seasons(df: DataFrame, path: str, season: str = "season") -> DataFrame
 def merge_seasons(spark: SparkSession, path: str, new: DataFrame, season: str = "season") -> DataFrame:
     """Replace the seasons of `new` in a table written by `write_seasons`; others stay untouched.
 
-    New columns are cast to the stored types and columns unknown to the table are dropped.
+    New columns are cast to the stored types; columns unknown to the table are dropped, with a warning that
+    names them.
     A table cannot lose a column this way: where `new` lacks one, build the table anew from
     `replace_seasons` at another path.
     """
@@ -32,6 +38,9 @@ def merge_seasons(spark: SparkSession, path: str, new: DataFrame, season: str =
     missing = [c for c in stored.columns if c not in new.columns]
     if missing:
         raise ValueError(f"the new rows lack stored columns: {missing}")
+    unknown = [c for c in new.columns if c not in stored.columns]
+    if unknown:
+        warnings.warn(f"columns unknown to the stored table are dropped: {unknown}", stacklevel=2)
     aligned = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema])
     (
         by_season(aligned, season)
@@ -43,12 +52,18 @@ def merge_seasons(spark: SparkSession, path: str, new: DataFrame, season: str =
     return spark.read.parquet(path)
 
 
+def write_rosters(rosters: DataFrame, path: str) -> None:
+    """Rosters as CSV with a folder per team, which is where a reader finds the team again. Rows are
+    rebalanced by team first, so a team with a third of all rows is written by many tasks."""
+    rows = rosters.select(*schemas.column_names(schemas.ROSTER), F.col("team").cast("string").alias("team")).hint("rebalance", "team")
+    rows.write.mode("overwrite").options(header=True, **KEEP_BLANKS).partitionBy("team").csv(path)
+
+
 def write_results(df: DataFrame, path: str, file_format: str = "parquet") -> DataFrame:
     """Write a result table (predictions, importances) as Parquet or CSV and read it back."""
     if file_format == "csv":
         # By default the CSV writer trims blanks, which are part of a name here.
-        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        df.write.mode("overwrite").options(header=True, **blanks).csv(path)
+        df.write.mode("overwrite").options(header=True, **KEEP_BLANKS).csv(path)
         return df.sparkSession.read.options(header=True).schema(df.schema).csv(path)
     df.write.mode("overwrite").format(file_format).save(path)
     return df.sparkSession.read.format(file_format).load(path)

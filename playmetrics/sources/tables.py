@@ -10,11 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetrics.sources import schemas
 
+# CSV keeps blanks at the ends of a text only if asked to.
+KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+# Spark's folder for rows whose partition value is NULL or empty.
+UNKNOWN_TEAM = "__HIVE_DEFAULT_PARTITION__"
+
 TRACKING_TYPES = ("passing", "rushing", "receiving")
 
 
@@ -99,14 +105,30 @@ def load_ratings(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.RATINGS)
 
 
+def decoded(path: Column) -> Column:
+    """A path of `_metadata` as it was named; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def load_rosters(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Rosters have no team column: the file name ends in ` - <team>.csv` or is `<team>.csv`."""
-    file_name = F.url_decode(F.col("_metadata.file_name"))
+    file_name = decoded(F.col("_metadata.file_name"))
     team = F.regexp_extract(file_name, r"^(?:.* - )?(.+)\.csv\z", 1)
     rosters = read_csv(spark, paths, schemas.ROSTER)
     return rosters.select("*", F.trim(team).alias("team"))
 
 
+def load_team_rosters(spark: SparkSession, path: str) -> DataFrame:
+    """Rosters that `sinks.write_rosters` left: the team is the name of the folder that a row's file lies in.
+
+    It is read as text, whatever it looks like; the folder for unknown teams gives NULL.
+    """
+    folder = F.regexp_extract(decoded(F.col("_metadata.file_path")), r"/team=([^/]*)/[^/]*\z", 1)
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).options(**KEEP_BLANKS)
+    team = F.when(folder != UNKNOWN_TEAM, decoded(folder))
+    return rows.schema(schemas.ROSTER).csv(path).select("*", team.alias("team"))
+
+
 def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
     """Column names and types, known without reading data."""
     return df.dtypes

@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -77,3 +78,40 @@ def test_series_is_ordered(points):
     rows = C.series(points, "x", "y", "g").collect()
     assert [(r["g"], r["x"]) for r in rows] == sorted((r["g"], r["x"]) for r in rows)
     assert C.series(points.select(F.col("x"), F.col("y")), "x", "y").columns == ["x", "y"]
+
+
+def test_correlations_over_many_sets_of_known_columns(spark, monkeypatch):
+    """Far from zero, with holes everywhere, and with more columns than one word of flags."""
+    monkeypatch.setattr(C, "FLAGS", 3)
+    rng = random.Random(4)
+    columns = [f"c{i}" for i in range(9)]
+    rows = []
+    for _ in range(40):
+        base = 1e9 + rng.gauss(0, 1)
+        values = [base + rng.gauss(0, 1) for _ in columns]
+        values = [None if i < 5 and rng.random() < 0.3 else v for i, v in enumerate(values)]
+        values[5], values[6] = 3.0, None
+        rows.append(tuple(values))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
+    got = {(r["x"], r["y"]): r["correlation"] for r in C.correlation_matrix(df, columns).collect()}
+    assert len(got) == 81
+    for i in range(9):
+        for j in set(range(9)) - {i}:
+            pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            if 5 in (i, j) or 6 in (i, j):
+                assert got[f"c{i}", f"c{j}"] is None
+            else:
+                assert got[f"c{i}", f"c{j}"] == pytest.approx(statistics.correlation(*zip(*pairs)), abs=1e-5)
+
+
+def test_correlations_of_nothing(spark):
+    df = spark.createDataFrame([], "a double, b int")
+    assert {r["correlation"] for r in C.correlation_matrix(df, ["a", "b"]).collect()} == {None}
+
+
+def test_histogram_reads_its_input_once(spark):
+    df = spark.range(50).selectExpr("double(id) AS v")
+    seen = spark.sparkContext.accumulator(0)
+    counted = df.mapInPandas(lambda batches: (seen.add(len(b)) or b for b in batches), "v double")
+    assert C.histogram(counted, "v", 5).agg(F.sum("rows")).first()[0] == 50
+    assert seen.value == 50

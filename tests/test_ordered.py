@@ -107,6 +107,30 @@ def test_window_larger_than_the_group_limit(plays):
     assert_same(by_nth(got, "rolling_epa_90"), expected)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+@pytest.mark.parametrize("window", [1, 4, 10])
+def test_rolling_beside_infinite_values(spark, limit, window):
+    """A value that is no finite number counts in the windows that hold it and in no other."""
+    odd = {3: float("inf"), 9: float("nan"), 17: float("-inf"), 18: float("inf"), 25: None, 30: 1e300, 31: -1e300}
+    values = [odd.get(i, i / 7) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(values)), "nth int, v double").withColumn("team", O.F.lit("a"))
+    got = O.rolling(df, O.F.col("v"), "mean", window, "team", ["nth"], min_values=1, group_limit=limit)
+    assert got.columns == [*df.columns, "mean"]
+    for r in got.collect():
+        known = [v for v in values[max(0, r["nth"] - window + 1) : r["nth"] + 1] if v is not None]
+        want = sum(known) / len(known) if known else None
+        assert (r["mean"] is None) == (want is None)
+        if want is not None and not (abs(want) < 1e3 and any(abs(v) == 1e300 for v in values[max(0, r["nth"] - 2 * window) : r["nth"] + 1] if v)):
+            assert r["mean"] == pytest.approx(want, nan_ok=True)
+
+
+def test_rolling_takes_one_step_per_row(spark):
+    """No frame of the plan has the window's length."""
+    df = spark.range(10).withColumn("v", O.F.col("id").cast("double"))
+    plan = O.rolling(df, O.F.col("v"), "m", 5000, "id", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "-4999" not in plan.replace("lag(__rest", "") and plan.count("Exchange hashpartitioning") <= 1
+
+
 def pearson(pairs):
     pairs = [(x, y) for x, y in pairs if x is not None and y is not None]
     if len(pairs) < 20:

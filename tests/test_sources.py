@@ -104,6 +104,26 @@ def test_roster_team_comes_from_the_file_name(spark, tmp_path):
     assert got.count() == 6
 
 
+def test_rosters_by_folder(spark, tmp_path):
+    """Teams that look like numbers, hold signs of paths, or are unknown."""
+    teams = ["KC", "49", "007", "A+B", "a b", "50%", "x/y=z", "é", None, ""]
+    columns = schemas.ROSTER.replace("\n", " ")
+    rows = [(f" P{i} ", "QB", i, *[None] * 10, t) for i, t in enumerate(teams * 2)]
+    df = spark.createDataFrame(rows, f"{columns}, team string")
+    sinks.write_rosters(df, str(tmp_path / "rosters"))
+    got = tables.load_team_rosters(spark, str(tmp_path / "rosters"))
+    assert got.columns == df.columns
+    want = sorted((r[0], r[2], r[-1] or None) for r in rows)
+    assert sorted((r["Player"], r["OVR"], r["team"]) for r in got.collect()) == want
+
+
+def test_merge_names_what_it_drops(spark, tmp_path):
+    path = str(tmp_path / "plays")
+    sinks.write_seasons(spark.createDataFrame([(1, 2020)], "v int, season int"), path)
+    with pytest.warns(UserWarning, match="extra"):
+        sinks.merge_seasons(spark, path, spark.createDataFrame([(2, 7, 2021)], "v int, extra int, season int"))
+
+
 def test_results_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(" a ", 0.1, True), (None, None, False)], "s string, x double, b boolean")
     for kind in ("csv", "parquet"):
