@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -135,30 +135,30 @@ def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for w in words
     ]
     rows = df.select(*given, *sets)
-    one = {i: F.col(f"__c{i}") for i in range(len(columns))}
-    pairs = list(combinations(one, 2))
-    figures = [F.count(F.lit(1)).alias("n")]
-    for i, c in one.items():
-        figures += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"), F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}")]
-    figures += [F.covar_pop(one[i], one[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    table = rows.groupBy(*[f"__set{w}" for w in words]).agg(*figures)
-
-    def known(i: int) -> Column:
-        return F.col(f"m{i}").isNotNull()
-
-    def figures_of(i: int, j: int) -> Column:
-        n = F.col("n").cast("double")
-        return F.struct(
-            F.lit(i * len(columns) + j).alias("pair"), n.alias("n"),
-            F.col(f"m{i}").alias("mean_x"), F.col(f"m{j}").alias("mean_y"),
-            (F.col(f"v{i}") * n).alias("xx"), (F.col(f"v{j}") * n).alias("yy"),
-            (F.col(f"v{i}" if i == j else f"p{i}_{j}") * n).alias("xy"),
-            F.col(f"low{i}").alias("min_x"), F.col(f"high{i}").alias("max_x"),
-            F.col(f"low{j}").alias("min_y"), F.col(f"high{j}").alias("max_y"),
-        )
-
-    cells = [F.when(known(i) & known(j), figures_of(i, j)) for i, j in [*pairs, *((i, i) for i in one)]]
-    return table.select(F.inline(F.array_compact(F.array(*cells))))
+    one = [F.col(f"__c{i}") for i in range(len(columns))]
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    table = rows.groupBy(*[f"__set{w}" for w in words]).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.array(*map(F.avg, one)).alias("means"),
+        F.array(*map(F.min, one)).alias("lows"), F.array(*map(F.max, one)).alias("highs"),
+        F.array(*[F.covar_pop(one[i], one[j]) for i, j in pairs]).alias("products"),
+    )
+
+    # Places in the arrays, looked up per row: a few short expressions instead of some for each pair.
+    size = len(columns)
+    places = {tuple(sorted((i, j))): k for k, (i, j) in enumerate(pairs)}
+    numbers = {"x": [i for i, _ in pairs], "y": [j for _, j in pairs]}
+    numbers |= {f"{c}{c}": [places[i, i] for i in numbers[c]] for c in "xy"}
+    at = table.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))))
+    at = at.withColumns({f"__{c}": F.get(F.array(*map(F.lit, ks)), "__k") for c, ks in numbers.items()})
+    n = F.col("n")
+    figures = at.select(
+        (F.col("__x") * size + F.col("__y")).alias("pair"), n, F.get("means", "__x").alias("mean_x"), F.get("means", "__y").alias("mean_y"),
+        (F.get("products", "__xx") * n).alias("xx"), (F.get("products", "__yy") * n).alias("yy"), (F.get("products", "__k") * n).alias("xy"),
+        F.get("lows", "__x").alias("min_x"), F.get("highs", "__x").alias("max_x"),
+        F.get("lows", "__y").alias("min_y"), F.get("highs", "__y").alias("max_y"),
+    )
+    # Pairs of which the set lacks a side have no rows there.
+    return figures.filter("mean_x IS NOT NULL AND mean_y IS NOT NULL")
 
 
 def merged_moments(parts: DataFrame) -> DataFrame:
