@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from playmetrics.llm import (
@@ -57,6 +58,85 @@ def test_similar_group_larger_than_a_block(spark):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 59)} and len(got) == 60
 
 
+def spread_texts(seed, near, far):
+    """Texts of 200 words: `near` pairs of similarity about 0.95, `far` pairs of about 0.81."""
+    rows, rand = [], random.Random(seed)
+    for k in range(near + far):
+        text = words(1000 * seed + k, 200).split(" ")
+        other = list(text)
+        for p in (10,) if k < near else (10, 50, 100, 150):
+            other[p] = f"changed{rand.randint(0, 9)}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def shingle_links(rows):
+    """Pairs of similarity 0.8 or more, by sets of shingles."""
+    sets = {}
+    for k, text in rows:
+        parts = text.split()
+        sets[k] = {tuple(parts[p : p + 5]) for p in range(max(1, len(parts) - 4))}
+    return {
+        (a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    }
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_forest_shortens_prefixes_by_what_it_found(spark, block):
+    ends = []
+    for near, far in ((150, 0), (60, 60)):
+        rows = spread_texts(near, near, far)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        settings = similar.Settings(trees=16, depth=6, block=block)
+        _, classes = similar.class_table(similar.signatures(docs, settings))
+        found = similar.search(classes.drop("k2"), docs, settings)
+        expected = shingle_links(rows)
+        links = found.seen.filter("b is not null").select("a", "b").collect()
+        assert {(min(r), max(r)) for r in links} == expected
+        assert found.seen.filter("b is null").groupBy().sum("links").first()[0] == 2 * len(expected)
+        ends.append(sum(found.depths))
+    assert ends[0] > ends[1]
+
+
+def test_forest_target_recall():
+    settings = similar.Settings()
+    full = np.full(settings.trees, settings.depth)
+    none = similar.shortened(np.zeros(settings.bins), full, settings)
+    assert similar.reached(np.array([0.8]), none)[0] >= settings.recall > similar.reached(np.array([0.8]), full)[0]
+    close = np.zeros(settings.bins)
+    close[-4] = 100_000
+    assert (similar.shortened(close, full, settings) == full).all()
+    wide = np.full(settings.bins, 10_000.0)
+    assert similar.shortened(wide, full, settings).sum() <= full.sum()
+
+
+def test_runs_over_partitions(spark):
+    """A node of 300 texts over many range partitions has each member once, numbered through."""
+    base = words(7, 80).split(" ")
+    docs = spark.createDataFrame([(k, " ".join(base[:79] + [f"end{k}"])) for k in range(300)], "doc_id long, text string")
+    settings = similar.Settings()
+    _, classes = similar.class_table(similar.signatures(docs, settings))
+    step = similar.Step(np.full(settings.trees, settings.depth))
+    got = {}
+    for r in similar.members_of_nodes(classes, step, settings).collect():
+        got.setdefault(r["key"], []).append((r["nth"], r["rep"], r["n"]))
+    assert max(len(v) for v in got.values()) > 200
+    for rows in got.values():
+        assert sorted(nth for nth, _, _ in rows) == list(range(len(rows))) and {n for _, _, n in rows} == {len(rows)}
+        assert len({rep for _, rep, _ in rows}) == len(rows)
+    sig = similar.unpacked(pa.array([bytes(r["sig"]) for r in classes.collect()]), settings)
+    keys = similar.prefix_keys(sig, step.now, settings)
+    _, often = np.unique(keys, return_counts=True)
+    assert sorted(len(v) for v in got.values()) == sorted(often[often > 1].tolist())
+
+
+def test_similar_class_larger_than_a_crowd(spark):
+    text = words(8, 50)
+    docs = spark.createDataFrame([(k, text if k < 40 else words(k, 50)) for k in range(60)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar.join(docs, similar.Settings(crowd=8)).collect()}
+    assert got == {k: (0, 39) if k < 40 else (k, 0) for k in range(60)}
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
