@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -284,6 +285,54 @@ def test_extraction(spark):
     assert sorted(r["n_chars"] for r in extraction.extract(df).collect()) == [0, 86, 86]
 
 
+FILLED = "The house on the hill was built by a man who came from the north in the year of the great storm, and it is said that "
+LONGER = FILLED + FILLED + "the people of the town helped him with the stones for it."
+POLISH = "Dom na wzgórzu stał od lat i nikt w nim nie był, a to co o nim wiemy nie jest pewne, bo nikt z nas nie był na wzgórzu. "
+EXTRACTED = {
+    # Density rules decide without an article element or telling names.
+    "no article": (
+        f"<body><div><a href=/a>Home</a> <a href=/b>News and more</a></div><div><p>Title of it<p>{LONGER}<p>{LONGER}</div>"
+        "<div><a href=/c>Next page</a></div><div>&copy; 2020 by the firm</div>",
+        f"Title of it {LONGER} {LONGER}",
+    ),
+    "own stop words": (f"<div><p>{POLISH * 3}<p>{POLISH * 2}<p>Koniec.<p>{POLISH * 3}</div>", " ".join(f"{POLISH * 3} {POLISH * 2} Koniec. {POLISH * 3}".split())),
+    "no blanks between words": ("<div><p>" + "山上的房子" * 60 + "</div>", "山上的房子" * 60),
+    "self-closed": (f"<article><svg/><p>{LONGER}</p><iframe src=x /><p>The end.</p></article>", f"{LONGER} The end."),
+    "unclosed frame": (f"<article><p>{LONGER}</p><iframe src=x>no frames<p>The end.</p></article>", f"{LONGER} The end."),
+    "unclosed script": (f"<article><p>{LONGER}</p><script>var x = '<p>text</p>'", LONGER),
+    "form around the page": (f"<form><div><p>{LONGER}<p>{LONGER}</div></form>", f"{LONGER} {LONGER}"),
+    "form beside the text": (f"<div><p>{LONGER}</div><form><p>Your name and the mail of your own to be sent to us by this form, as it is</form>", LONGER),
+    "class words in parts": (f"<article class='side-by-side'><div class=entry-header><h1>Title</h1></div><p>{LONGER}</article>", f"Title {LONGER}"),
+    "comments": (f"<article><p>{LONGER}</article><div class=comment-list><p>{LONGER}</div>", LONGER),
+    "notices": (f"<article><p>{LONGER}<div>Advertisement</div><p>{LONGER}<div>Share this:</div></article>", f"{LONGER} {LONGER}"),
+    "references": (f"<article><p>{LONGER} &lt;b&gt; &amp; x&#8211;y</article>", f"{LONGER} <b> & x\N{EN DASH}y"),
+}
+
+
+@pytest.mark.parametrize("name", EXTRACTED)
+def test_extraction_by_hand(name):
+    page, text = EXTRACTED[name]
+    assert extraction.main_text(page) == text
+
+
+def test_extraction_by_densities_alone():
+    """Link and stop-word densities decide where no name tells anything."""
+    page, text = EXTRACTED["no article"]
+    assert extraction.main_text(page, extraction.Limits(names=False)) == text
+    found = extraction.blocks(page)
+    assert not any(b.dropped or b.vouched for b in found)
+    assert extraction.first_pass(found, extraction.Limits()) == ["bad", "short", "good", "good", "bad", "bad"]
+
+
+def test_extraction_of_long_and_malformed_pages():
+    begin = time.perf_counter()
+    many = "<div>" * 30_000 + "</section>" * 30_000 + "<svg>" * 30_000 + f"<article><p>{LONGER}" + "</p><" * 1000
+    assert extraction.main_text(many).startswith(LONGER)
+    assert extraction.main_text(f"<article><p>{'a ' * 500_000}") == " ".join(["a"] * 500_000)
+    assert extraction.main_text("<p" + "'" * 50_000) == extraction.main_text("<!--" * 20_000) == ""
+    assert time.perf_counter() - begin < 20
+
+
 def test_neighbours(spark):
     random_ = np.random.default_rng(3)
     x = random_.normal(size=(400, 16))
