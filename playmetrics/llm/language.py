@@ -18,16 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playmetrics.llm.common import held_out, lean, spans, text_bytes
+from playmetrics.llm.common import held_out, lean, mix, spans, text_bytes
+from playmetrics.operators.sizing import attach
 
 UNDETERMINED = "und"
 
 
 class Settings(NamedTuple):
-    """At most `texts` labelled texts per language are learned from, all of their bytes, in stretches
-    of `steps`. Texts are read in segments of `segment` bytes, all of them."""
+    """At most `texts` labelled texts per language are learned from, in stretches of `steps` bytes that cover
+    them; of a text of more than `stretches` as many are drawn by a hash over all of it. That bounds the
+    training's rows, memory and time whatever the table and the texts. What is predicted is read
+    whole, in segments of `segment` bytes."""
 
     texts: int = 400
+    stretches: int = 1024
     steps: int = 64
     units: int = 8
     batch: int = 128
@@ -73,57 +77,66 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slopes_of(model: Model, x: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The loss, cross-entropy averaged over all positions of `x` (steps, lanes), and its slope by every
+    parameter, by backpropagation through time."""
+    steps, width = x.shape
+    units, dtype = len(model.recurrent[0][0]), model.out.dtype
+    shapes = [*model.inputs, *model.recurrent, model.out, model.bias]
+    states, kept = [], []
+    for way in range(2):
+        h = np.zeros((units, width), dtype)
+        states.append(np.zeros((steps, units, width), dtype))
+        kept.append([])
+        for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
+            a = model.inputs[way][:, x[t]]
+            b = model.recurrent[way] @ h
+            gates = sigmoid(a[: 2 * units] + b[: 2 * units])
+            n = np.tanh(a[2 * units :] + gates[:units] * b[2 * units :])
+            kept[way].append((t, h, gates, n, b[2 * units :]))
+            h = n + gates[units:] * (h - n)
+            states[way][t] = h
+    both = np.concatenate(states, axis=1)  # steps, 2 units, width
+    p = np.einsum("lu,tuw->ltw", model.out, both) + model.bias[:, :, None]
+    p = softmax(p)
+    loss = -float(np.log(np.maximum(p[labels, :, np.arange(width)], 1e-30)).mean())
+    p[labels, :, np.arange(width)] -= 1
+    p /= steps * width
+    slopes = [np.zeros_like(v) for v in shapes]
+    slopes[4][:] = np.einsum("ltw,tuw->lu", p, both)
+    slopes[5][:, 0] = p.sum((1, 2))
+    back = np.einsum("lu,ltw->tuw", model.out, p)
+    for way in range(2):
+        d = np.zeros((units, width), dtype)
+        pre = np.zeros((steps, 3 * units, width), dtype)
+        for t, h, gates, n, inner in reversed(kept[way]):
+            d = d + back[t, way * units : (way + 1) * units]
+            z, r = gates[units:], gates[:units]
+            dn = d * (1 - z) * (1 - n * n)
+            dz = d * (h - n) * z * (1 - z)
+            dr = dn * inner * r * (1 - r)
+            pre[t] = np.concatenate([dr, dz, dn])
+            hidden = np.concatenate([dr, dz, dn * r])
+            slopes[2 + way] += hidden @ h.T
+            d = d * z + model.recurrent[way].T @ hidden
+        flat = x.ravel()
+        for g in range(3 * units):
+            slopes[way][g] = np.bincount(flat, pre[:, g].ravel(), 256)
+    return loss, slopes
+
+
 def learn(data: np.ndarray, labels: np.ndarray, languages: list[str], settings: Settings) -> Model:
-    """Backpropagation through time with Adam over `data` (windows x steps of bytes). The loss is
-    the cross-entropy of every position."""
-    model, units = start(languages, settings), settings.units
+    """Adam over `data` (stretches x steps of bytes) in batches."""
+    model = start(languages, settings)
     random = np.random.default_rng(settings.seed)
     shapes = [*model.inputs, *model.recurrent, model.out, model.bias]
     first, second = [np.zeros_like(p) for p in shapes], [np.zeros_like(p) for p in shapes]
-    turn, steps = 0, data.shape[1]
+    turn = 0
     for _ in range(settings.epochs):
         order = random.permutation(len(data))
         for at in range(0, len(order), settings.batch):
             rows = order[at : at + settings.batch]
-            x, width = data[rows].T, len(rows)
-            states, kept = [], []
-            for way in range(2):
-                h = np.zeros((units, width), np.float32)
-                states.append(np.zeros((steps, units, width), np.float32))
-                kept.append([])
-                for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-                    a = model.inputs[way][:, x[t]]
-                    b = model.recurrent[way] @ h
-                    gates = sigmoid(a[: 2 * units] + b[: 2 * units])
-                    n = np.tanh(a[2 * units :] + gates[:units] * b[2 * units :])
-                    kept[way].append((t, h, gates, n, b[2 * units :]))
-                    h = n + gates[units:] * (h - n)
-                    states[way][t] = h
-            both = np.concatenate(states, axis=1)  # steps, 2 units, width
-            p = np.einsum("lu,tuw->ltw", model.out, both) + model.bias[:, :, None]
-            p = softmax(p)
-            p[labels[rows], :, np.arange(width)] -= 1
-            p /= steps * width
-            slopes = [np.zeros_like(v) for v in shapes]
-            slopes[4][:] = np.einsum("ltw,tuw->lu", p, both)
-            slopes[5][:, 0] = p.sum((1, 2))
-            back = np.einsum("lu,ltw->tuw", model.out, p)
-            for way in range(2):
-                d = np.zeros((units, width), np.float32)
-                pre = np.zeros((steps, 3 * units, width), np.float32)
-                for t, h, gates, n, inner in reversed(kept[way]):
-                    d = d + back[t, way * units : (way + 1) * units]
-                    z, r = gates[units:], gates[:units]
-                    dn = d * (1 - z) * (1 - n * n)
-                    dz = d * (h - n) * z * (1 - z)
-                    dr = dn * inner * r * (1 - r)
-                    pre[t] = np.concatenate([dr, dz, dn])
-                    hidden = np.concatenate([dr, dz, dn * r])
-                    slopes[2 + way] += hidden @ h.T
-                    d = d * z + model.recurrent[way].T @ hidden
-                flat = x.ravel()
-                for g in range(3 * units):
-                    slopes[way][g] = np.bincount(flat, pre[:, g].ravel(), 256)
+            _, slopes = slopes_of(model, data[rows].T, labels[rows])
             turn += 1
             size = np.sqrt(sum(float((s * s).sum()) for s in slopes))
             for v, s, m1, m2 in zip(shapes, slopes, first, second, strict=True):
@@ -210,36 +223,68 @@ def windows(text: bytes, settings: Settings) -> Iterator[bytes]:
         yield text[at : at + settings.steps].ljust(settings.steps)
 
 
-def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
-    """A model from `text` and `lang` of rows that aren't held out.
+def stretches(text: bytes, key: int, settings: Settings) -> bytes:
+    """The windows of a text one after the other; of more than `settings.stretches` those of smallest hash."""
+    room = max(0, len(text) - settings.steps)
+    count = -(-room // settings.steps) + 1
+    if count <= settings.stretches:
+        return b"".join(windows(text, settings))
+    hashes = mix(mix(np.array([key % (1 << 64)], np.uint64)) + np.arange(count, dtype=np.uint64))
+    chosen = np.sort(np.argpartition(hashes, settings.stretches)[: settings.stretches])
+    begins = np.minimum(chosen * settings.steps, room)
+    return np.frombuffer(text, np.uint8)[begins[:, None] + np.arange(settings.steps)].tobytes()
+
 
-    Rows with a NULL id, text or lang or without a letter teach nothing. Per language the texts of
-    smallest id hash are used, which Spark narrows within each task before they meet; the one task
-    that trains gets `settings.texts` per language.
+def chosen_texts(docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, lang and text that are learned from: per language the texts of smallest id hash.
+
+    A language of many texts is narrowed within each task by a bound on the hash that about twice
+    as many texts meet as are wanted, so the rows that meet to be ranked don't grow with the table.
     """
     known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null")
     known = known.filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("__n"))
+    share = F.lit(2.0 * settings.texts) / F.col("__n")
+    bound = F.when(share < 1, F.lit(-(2.0**63)) + share * 2.0**64).otherwise(2.0**63)
+    near = attach(known, sizes.select("lang", bound.alias("__bound")), ["lang"])
+    near = near.filter(F.xxhash64("doc_id").cast("double") <= F.col("__bound"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("__k", F.row_number().over(order))
+    ids = near.select("doc_id", "lang").distinct().withColumn("__k", F.row_number().over(order))
     ids = ids.filter(F.col("__k") <= settings.texts).drop("__k")
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    return near.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, str, bytes]] = []
+
+def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
+    """A model from `text` and `lang` of rows that aren't held out.
+
+    Rows with a NULL id, text or lang or without a letter teach nothing. Tasks cut the chosen texts
+    into stretches; the one task that trains gets at most `settings.texts` texts per language and
+    `settings.stretches` stretches of each, as bytes.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lower = pc.utf8_lower(batch.column(2))
-            for doc_id, lang, text in zip(*[c.to_pylist() for c in (batch.column(0), batch.column(1), lower)], strict=True):
-                found += [(doc_id, lang, w) for w in windows(text.encode(), settings)]
-        if not found:
+            lower = pc.utf8_lower(batch.column(2)).to_pylist()
+            ids = batch.column(0).to_pylist()
+            rows = [stretches(t.encode(), k, settings) for k, t in zip(ids, lower, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "lang", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [b for b in batches if b.num_rows]
+        if not table:
             return
-        found.sort()
-        languages = sorted({x[1] for x in found})
-        data = np.frombuffer(b"".join(x[2] for x in found), np.uint8).reshape(len(found), settings.steps)
-        labels = np.array([languages.index(x[1]) for x in found])
+        found = pa.Table.from_batches(table).sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+        languages = sorted(pc.unique(found.column("lang")).to_pylist())
+        data, offsets = text_bytes(found.column("rows"))
+        data = data.reshape(-1, settings.steps)
+        place = {name: k for k, name in enumerate(languages)}
+        label = np.array([place[x] for x in found.column("lang").to_pylist()])
+        labels = np.repeat(label, np.diff(offsets) // settings.steps)
         model = pickle.dumps(learn(data, labels, languages, settings))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    got = rows.select("doc_id", "lang", "text").repartition(1).mapInArrow(lean(run), "model binary").collect()
+    rows = chosen_texts(docs, settings).mapInArrow(lean(cut), "doc_id long, lang string, rows binary")
+    got = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     if not got:
         return start([], settings)
     return pickle.loads(got[0]["model"])

@@ -333,6 +333,51 @@ def test_extraction_of_long_and_malformed_pages():
     assert time.perf_counter() - begin < 20
 
 
+def test_language_slopes_against_differences():
+    """Backpropagation through time against finite differences of the loss, for every kind of parameter."""
+    settings = language.Settings(units=3)
+    single = language.start(["a", "b", "c"], settings)
+    parts = [np.array(v, np.float64) for v in (*single.inputs, *single.recurrent, single.out, single.bias)]
+    model = language.Model(single.languages, parts[:2], parts[2:4], parts[4], parts[5])
+    random_ = np.random.default_rng(5)
+    x, labels = random_.integers(97, 103, (7, 4)), np.array([0, 1, 2, 1])
+    _, slopes = language.slopes_of(model, x, labels)
+    for part, slope in zip(parts, slopes, strict=True):
+        seen = np.argwhere(np.abs(slope) > 0)
+        for at in map(tuple, seen[random_.permutation(len(seen))[:12]]):
+            old, ends = part[at], []
+            for move in (1e-5, -1e-5):
+                part[at] = old + move
+                ends.append(language.slopes_of(model, x, labels)[0])
+            part[at] = old
+            assert slope[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_language_stretches():
+    settings = language.Settings(steps=8, stretches=16)
+    short = b"a text of some length"
+    assert language.stretches(short, 3, settings) == b"".join(language.windows(short, settings))
+    text = bytes(range(32, 122)) * 2000
+    got = language.stretches(text, 3, settings)
+    assert len(got) == 16 * 8 and got == language.stretches(text, 3, settings) != language.stretches(text, 4, settings)
+    assert all(got[k : k + 8] in text for k in range(0, len(got), 8))
+    assert len(language.stretches(b"x" * 20_000_000, -1, language.Settings())) == 1024 * 64
+
+
+def test_language_chooses_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(F.col("id") % 3 > 0, "aa").otherwise(F.concat(F.lit("b"), F.col("id") % 2)).alias("lang")
+    )
+    docs = docs.unionByName(docs.filter("doc_id < 50"))
+    got = language.chosen_texts(docs, language.Settings(texts=60)).collect()
+    rows = docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().collect()
+    for lang in ("aa", "b0", "b1"):
+        best = sorted((r["h"], r["doc_id"]) for r in rows if r["lang"] == lang)[:60]
+        assert sorted(r["doc_id"] for r in got if r["lang"] == lang) == sorted(k for _, k in best)
+
+
 def test_neighbours(spark):
     random_ = np.random.default_rng(3)
     x = random_.normal(size=(400, 16))
