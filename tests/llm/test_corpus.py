@@ -424,6 +424,57 @@ def test_neighbours_among_few_vectors_with_copies(spark):
     assert [r["vec_id"] for r in got[:11]] == list(range(1, 12))
 
 
+def test_neighbours_of_several_lengths_and_one_long_vector(spark):
+    from pyspark.sql import functions as F
+
+    random_ = np.random.default_rng(12)
+    x = [*random_.normal(size=(600, 24)), *random_.normal(size=(300, 6)), *random_.normal(size=(40, 3))]
+    x[5] = x[5] * 1e6
+    x[6] = x[6] * 1e-6
+    x[601] = x[601] * 1e250
+    df = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<double>, shelf string")
+    got: dict[int, set] = {}
+    for r in neighbours.search(df, F.col("vec_id") % 5 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for begin, end in ((0, 600), (600, 900), (900, 940)):
+        hits = []
+        for q in range(begin, end, 5):
+            best = sorted((-(x[q] * x[k]).sum(), k) for k in range(begin, end) if k != q)[:10]
+            hits.append(len({k for _, k in best} & got[q]) / 10)
+            assert len(got[q]) == 10
+        assert np.mean(hits) >= 0.9
+    assert all(got[q] == set() or 5 in got[q] for q in range(0, 600, 5) if q != 5 and x[q] @ x[5] > 0)
+    assert neighbours.search(df.limit(0), F.col("vec_id") % 5 == 0, 10).count() == 0
+    assert neighbours.search(df, F.lit(False), 10).count() == 0
+
+
+def test_a_shelf_gets_the_cheapest_plan_that_finds_enough():
+    random_ = np.random.default_rng(13)
+    settings, plan = neighbours.Settings(tables=4, probes=16), neighbours.Plan(longest=1.0)
+    shares = []
+    for spread in (1.0, 0.2):  # the nearer the neighbours, the fewer rows are compared
+        asked = random_.normal(size=(20, 32))
+        asked /= np.linalg.norm(asked, axis=1)[:, None]
+        near = [q + spread * random_.normal(size=(10, 32)) / 32**0.5 for q in asked]
+        near = [n / np.linalg.norm(n, axis=1)[:, None] for n in near]
+        sample = random_.normal(size=(500, 32))
+        sample /= np.linalg.norm(sample, axis=1)[:, None]
+        got, recall, share = neighbours.tuned(sample, asked, near, 10**7, 10**5, plan, settings)
+        found, met = [], 0
+        for q, n in zip(asked, near, strict=True):
+            visited = [set(keys) for keys in neighbours.probe_keys(q[None], got, settings)[0].tolist()]
+            found += [any(k in v for k, v in zip(row, visited, strict=True)) for row in neighbours.index_keys(n, got, settings).tolist()]
+            met += sum(k in v for row in neighbours.index_keys(sample, got, settings).tolist() for k, v in zip(row, visited, strict=True))
+        assert np.mean(found) == pytest.approx(recall) and recall >= settings.recall
+        assert met / 20 / 500 == pytest.approx(share)
+        shares.append(share)
+    assert shares[1] < 0.3 * shares[0]
+    # One table's perturbed cells are in the order of the summed squared distances to the borders.
+    sets = neighbours.perturbations(np.array([0.1, 0.45, 0.7]), 27)
+    cost = [sum(((1 - p) if step > 0 else p) ** 2 for f, step in chosen for p in [(0.1, 0.45, 0.7)[f]]) for chosen in sets]
+    assert len(sets) == 27 and cost == sorted(cost)
+
+
 def test_queries_of_a_crowded_bucket_are_dealt(spark):
     rows = spark.range(1200).selectExpr("id cid", "array(1D * id, 1D) v", "array(7L, 1000 + id) keys")
     asked = rows.filter("cid < 900")
