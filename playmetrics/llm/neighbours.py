@@ -194,10 +194,10 @@ def by_length(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def norm_of(vector: Column) -> Column:
-    """The length of a usable vector, without overflow of the squares."""
-    most = F.array_max(F.transform(vector, F.abs))
-    return most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-
+    """The length of a usable vector. Where its squares overflow or vanish, its largest component."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
+    most = F.aggregate(vector, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    return F.when((squares > 1e-290) & (squares < float("inf")), F.sqrt(squares)).otherwise(most)
 
 
 def hashed(rows: DataFrame, settings: Settings, probing: bool) -> DataFrame:
@@ -259,11 +259,11 @@ def nearest_on_shelves(rows: DataFrame, trials: list, k: int) -> DataFrame:
 
 
 def shelved(classes: DataFrame, settings: Settings) -> DataFrame:
-    """(cid, v, d, norm, shelf) of the classes."""
-    rows = classes.select("cid", "v", F.size("v").alias("d"), norm_of(F.col("v")).alias("norm"))
+    """(cid, v, d, norm, shelf) of the classes (cid, v, norm)."""
+    rows = classes.select("cid", "v", F.size("v").alias("d"), "norm")
     rows = attach(rows, rows.groupBy("d").agg(F.max("norm").alias("top")), ["d"])
-    halvings = F.log2("top") - F.log2("norm")  # NaN where both are infinite
-    shelf = F.when(F.isnan(halvings), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(settings.shelves), F.floor(halvings))))
+    halvings = F.floor(F.log2("top") - F.log2("norm"))
+    shelf = F.greatest(F.lit(0), F.least(F.lit(settings.shelves), halvings))
     return rows.select("cid", "v", "d", "norm", shelf.cast("int").alias("shelf"))
 
 
@@ -436,11 +436,11 @@ def search(
     members = Window.partitionBy("v").orderBy("id")
     first = rows.select("v", "id").distinct().withColumn("__r", F.row_number().over(members)).filter(F.col("__r") <= k + 1)
     classes = first.groupBy("v").agg(F.min("id").alias("cid"), F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = settle_table(classes.select("cid", "v", "ids"), "vectors")
+    classes = settle_table(classes.select("cid", "v", "ids", norm_of(F.col("v")).alias("norm")), "vectors")
     queries = rows.filter("asks").select("id", "v").distinct().join(classes.select("cid", "v"), "v")
     queries = settle_table(queries.select("id", "cid", "v"), "queries")
     asked = queries.select("cid", "v").distinct()
-    shelves = settle_table(shelved(classes, settings), "shelved")
+    shelves = shelved(classes, settings)
     asking = asked.withColumn("d", F.size("v"))
     plans = settle_table(planned(shelves, asking, k, settings), "plans")
     data = attach(shelves, plans.select("d", "shelf", *Plan._fields[:4]), ["d", "shelf"]).filter("functions is not null")
