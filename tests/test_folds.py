@@ -62,6 +62,48 @@ def test_same_as_refits(spark, monkeypatch, k):
         assert found[row[0]]["correct"] == ((p > 0.5) == (row[1] > 0.5))
 
 
+@pytest.mark.parametrize("allowed", [1e-6, -1.0])
+def test_expansions_same_as_refits(spark, monkeypatch, allowed):
+    """Rows by the expansion, by sums over all rows, and both, the last 80 at a time."""
+    monkeypatch.setattr(folds, "DIRECT_FITS", 80)
+    monkeypatch.setattr(folds, "MARGIN_ERROR", allowed)
+    direct = []
+    newton = folds.newton
+
+    def counted(rows, weights, penalty, moving, features, left):
+        direct.append(0 if left is None else len(left))
+        return newton(rows, weights, penalty, moving, features, left)
+
+    monkeypatch.setattr(folds, "newton", counted)
+    made = rows(150)
+    made[7] = (*made[7][:3], 20.0, 3.0)  # a row with a large pull
+    found = held_out(spark, made, None)
+    assert len(found) == 150 and max(direct) <= 80
+    assert sum(direct) == 150 if allowed < 0 else 0 < sum(direct) < 150, direct
+    for i, row in enumerate(made):
+        assert found[row[0]]["fold"] == i
+        p = refit(made[:i] + made[i + 1 :], row)
+        assert found[row[0]]["held_out_prob"] == pytest.approx(p, abs=1e-6)
+        assert found[row[0]]["correct"] == ((p > 0.5) == (row[1] > 0.5))
+
+
+def test_expansions_of_one_outcome(spark, monkeypatch):
+    monkeypatch.setattr(folds, "DIRECT_FITS", 2)
+    found = held_out(spark, rows(40, one_sided=True), None)
+    assert found[0]["held_out_prob"] == 1.0 and not found[0]["correct"]
+    assert all(0 < found[k]["held_out_prob"] < 1 for k in found if k)
+    same = held_out(spark, [(*r[:1], 1.0, *r[2:]) for r in rows(40)], None)
+    assert len(same) == 40 and all(r["held_out_prob"] == 1.0 and r["correct"] for r in same.values())
+
+
+def test_more_rows_than_fits_at_once(spark):
+    made = rows(folds.MOST_FITS + 1)
+    found = held_out(spark, made, None)
+    assert len(found) == len(made)
+    for i in (0, 1, 9_999, len(made) - 1):
+        assert found[made[i][0]]["held_out_prob"] == pytest.approx(refit(made[:i] + made[i + 1 :], made[i]), abs=1e-9)
+
+
 def test_one_outcome_left(spark):
     made = rows(6, one_sided=True)  # the only loss is left out in one fold
     found = held_out(spark, made, None)
