@@ -125,3 +125,13 @@ def test_summary(spark):
     table = spark.createDataFrame([(1, 1.0, 0, 0.8, True), (2, 0.0, 1, 0.6, False)], "game_id long, home_win double, fold int, held_out_prob double, correct boolean")
     got = folds.held_out_summary(table).first()
     assert got[:3] == (2, 1, 0.5) and got["log_loss"] == pytest.approx(-(np.log(0.8) + np.log(0.4)) / 2)
+
+
+def test_one_feature_of_more_rows_than_fits(spark):
+    made = [r[:3] for r in rows(folds.MOST_FITS + 50, seed=4)]
+    table = spark.createDataFrame(made, "game_id long, home_win double, edge double")
+    found = {r["game_id"]: r for r in folds.held_out(table, None, ["edge"]).collect()}
+    assert len(found) == len(made)
+    for i in (0, 77, len(made) - 1):
+        p = refit(made[:i] + made[i + 1 :], made[i])
+        assert found[made[i][0]]["held_out_prob"] == pytest.approx(p, abs=1e-9)
