@@ -135,3 +135,13 @@ def test_one_feature_of_more_rows_than_fits(spark):
     for i in (0, 77, len(made) - 1):
         p = refit(made[:i] + made[i + 1 :], made[i])
         assert found[made[i][0]]["held_out_prob"] == pytest.approx(p, abs=1e-9)
+
+
+def test_summary_of_more_rows_than_fits(spark):
+    made = rows(folds.MOST_FITS + 9, seed=5)
+    rated = folds.held_out(spark.createDataFrame(made, SCHEMA), None, FEATURES)
+    got, each = folds.held_out_summary(rated).first(), rated.collect()
+    assert got["games"] == len(each) == len(made)
+    assert got["correct_games"] == sum(r["correct"] for r in each) > 0.7 * len(made)
+    losses = [-np.log(r["held_out_prob"] if r["home_win"] else 1 - r["held_out_prob"]) for r in each]
+    assert got["log_loss"] == pytest.approx(np.mean(losses))
