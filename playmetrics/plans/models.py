@@ -6,8 +6,11 @@ The driver holds model parameters only: sixteen means, scales, coefficients or i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -18,7 +21,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ MODELS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 INVERSE_PENALTY = 0.5
 SEED = 42
 
+# Folds whose rows are kept in memory and fitted at a time.
+FOLDS_SIDE_BY_SIDE = 3
+
 
 def training_rows(matchups: DataFrame, features: Sequence[str] = MATCHUP_FEATURES) -> DataFrame:
     """Complete rows with the game, the target and the features, settled: training reads them
@@ -127,21 +133,37 @@ def cross_validate(
 ) -> CrossValidatorModel:
     """Fit every model on every fold, and the most accurate one on all rows.
 
-    The models are one parameter of a single pipeline, so Spark fits them side by side. A tie
-    goes to the earlier name. `most_fits` bounds the labelled rows of leave-one-out.
+    The models of FOLDS_SIDE_BY_SIDE folds are fitted side by side: a fit is a long chain of short jobs, which
+    alone leaves most cores idle. A tie goes to the earlier name. `most_fits` bounds the labelled rows of leave-one-out.
     """
+    spark = train.sparkSession
     rows = train.count()
-    folded = settle(with_folds(train, folds, most_fits=most_fits))
-    pipeline = Pipeline(stages=[])
-    validator = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=[{pipeline.stages: model_stages(n, rows, features)} for n in names],
-        evaluator=MulticlassClassificationEvaluator(labelCol=TARGET, metricName="accuracy"),
-        numFolds=folds or rows,
-        foldCol="fold",
-        parallelism=len(names),
-    )
-    return validator.fit(folded)
+    folded = settle(with_folds(train, folds, most_fits=most_fits)).select(*features, TARGET, "fold")
+    evaluator = MulticlassClassificationEvaluator(labelCol=TARGET, metricName="accuracy")
+
+    def accuracies(fold: int) -> list[float]:
+        kept, tried = (folded.filter(c).cache() for c in (F.col("fold") != fold, F.col("fold") == fold))
+
+        def accuracy(name: str) -> float:
+            model = Pipeline(stages=model_stages(name, rows, features)).fit(kept)
+            return evaluator.evaluate(model.transform(tried))
+
+        try:
+            for what, part in (("training", kept), ("validation", tried)):
+                if part.isEmpty():
+                    raise ValueError(f"The {what} data at fold {fold} is empty.")
+            with ThreadPool(len(names)) as pool:
+                return pool.map(inheritable_thread_target(spark)(accuracy), names)
+        finally:
+            kept.unpersist()
+            tried.unpersist()
+
+    count = folds or rows
+    with ThreadPool(FOLDS_SIDE_BY_SIDE) as pool:
+        found = pool.map(inheritable_thread_target(spark)(accuracies), range(count), chunksize=1)
+    means = np.mean(found, axis=0)
+    best = names[int(np.argmax(means))]
+    return CrossValidatorModel(Pipeline(stages=model_stages(best, rows, features)).fit(folded), list(means))
 
 
 def accuracy_table(

@@ -1,8 +1,12 @@
 import random
 import statistics
+import threading
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +158,37 @@ def test_leave_one_out_comparison(spark, train):
     assert all((r["accuracy"] * 12) == pytest.approx(round(r["accuracy"] * 12)) for r in table)
 
 
+def test_folds_fit_side_by_side(train, monkeypatch):
+    """Three folds are under way at once, and the means are those of Spark's own validator."""
+    names, stages = M.MODELS[:2], M.model_stages
+    meeting, met = threading.Barrier(6, timeout=120), []
+
+    def together(*given):
+        if threading.current_thread() is not threading.main_thread():
+            met.append(meeting.wait())
+        return stages(*given)
+
+    monkeypatch.setattr(M, "model_stages", together)
+    got = M.cross_validate(train, 3, names, FEATURES)
+    assert sorted(met) == list(range(6))
+    pipeline = Pipeline(stages=[])
+    theirs = CrossValidator(
+        estimator=pipeline,
+        estimatorParamMaps=[{pipeline.stages: stages(n, 60, FEATURES)} for n in names],
+        evaluator=MulticlassClassificationEvaluator(labelCol=M.TARGET, metricName="accuracy"),
+        numFolds=3,
+        foldCol="fold",
+    ).fit(M.settle(M.with_folds(train, 3)))
+    assert got.avgMetrics == pytest.approx(theirs.avgMetrics)
+    ours, expected = (M.scored(train, m.bestModel).orderBy("game_id").collect() for m in (got, theirs))
+    assert [r["home_prob"] for r in ours] == pytest.approx([r["home_prob"] for r in expected])
+
+
+def test_fold_without_rows(train):
+    with pytest.raises(ValueError, match="is empty"):
+        M.cross_validate(train.filter("game_id < 2"), 3, M.MODELS[:1], FEATURES)
+
+
 def test_prediction_file_layout(spark, train, linear):
     means = {f: s.mean for f, s in M.fit_scales(train, FEATURES).items()}
     games = M.predictions(train.withColumn("season", F.lit(2001)), linear)
