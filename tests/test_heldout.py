@@ -1,12 +1,13 @@
 """Registered leave-one-out queries over more games than models are fitted one by one."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from playmetrics.plans import folds
 from playmetrics.queries import QUERIES
 from playmetrics.queries.heldout import MARKET
-from playmetrics.queries.models import training
+from playmetrics.queries.models import FEATURES, training
 from tests.test_folds import refit
 
 GAMES, TEAMS, PASSERS = folds.MOST_FITS + 30, 25, 400
@@ -64,3 +65,17 @@ def test_market_of_more_games_than_fits(spark, tables):
         p = refit(made[:i] + made[i + 1 :], made[i])
         assert found[made[i][0]]["held_out_prob"] == pytest.approx(p, abs=1e-6)
         assert found[made[i][0]]["correct"] == ((p > 0.5) == (made[i][1] > 0.5))
+
+
+def test_summary_of_more_games_than_fits(spark, tables):
+    made = games(spark, tables, FEATURES)
+    each = {r["game_id"]: r for r in QUERIES["leave_one_out"](spark, tables).collect()}
+    for i in (0, 10_000, GAMES - 1):
+        p = refit(made[:i] + made[i + 1 :], made[i])
+        assert each[made[i][0]]["held_out_prob"] == pytest.approx(p, abs=1e-6)
+    (got,) = QUERIES["leave_one_out_summary"](spark, tables).collect()
+    losses = [-np.log(r["held_out_prob"] if r["home_win"] else 1 - r["held_out_prob"]) for r in each.values()]
+    assert len(made) == GAMES and got["games"] == len(each) == GAMES
+    assert got["correct_games"] == sum(r["correct"] for r in each.values())
+    assert got["accuracy"] == pytest.approx(got["correct_games"] / GAMES)
+    assert got["log_loss"] == pytest.approx(np.mean(losses), abs=1e-9)
